@@ -80,3 +80,12 @@ def may_contain(df: DataFrame, key: str, bits: DataFrame, buckets: int = 512) ->
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     probed = df.withColumn("_bucket", F.pmod(h, F.lit(buckets)).cast("int")).join(F.broadcast(bits), "_bucket")
     return probed.where(F.getbit(byte, F.pmod(at, F.lit(8))) == 1).select(*[f"`{c}`" for c in keep])
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once.
+
+    A plain column expression that a lambda mentions is computed anew for each element;
+    a lambda's own variable isn't.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

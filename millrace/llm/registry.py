@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup
 
-QUERIES = {"op7_exact_dedup": exact_dedup.op7_exact_dedup}
+QUERIES = {
+    "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+}
 
-ORACLE_SQL = {"op7_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL = {"op7_exact_dedup": exact_dedup.SQL, "op9_decontaminate": decontaminate.SQL}

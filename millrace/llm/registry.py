@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, url_rules
 
 QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_url_rules": url_rules.op10_url_rules,
 }
 
-ORACLE_SQL = {"op7_exact_dedup": exact_dedup.SQL, "op9_decontaminate": decontaminate.SQL}
+ORACLE_SQL = {
+    "op7_exact_dedup": exact_dedup.SQL,
+    "op9_decontaminate": decontaminate.SQL,
+    "op10_url_rules": url_rules.SQL,
+}

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, url_rules
+from . import decontaminate, exact_dedup, line_dedup, pieces, url_rules
 
 QUERIES = {
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_pieces": pieces.op8_pieces,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_rules": url_rules.op10_url_rules,
 }
 
 ORACLE_SQL = {
+    "op3_line_dedup": line_dedup.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op9_decontaminate": decontaminate.SQL,
     "op10_url_rules": url_rules.SQL,

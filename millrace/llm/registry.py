@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, line_dedup, pieces, url_rules
+from . import decontaminate, exact_dedup, line_dedup, ngram_join, pieces, url_rules
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_pieces": pieces.op8_pieces,
     "op9_decontaminate": decontaminate.op9_decontaminate,

@@ -14,8 +14,8 @@ kept there each time, and in the smallest doc_id all its lines stay; rows with o
 count as one document; rows with a null doc_id hold no key and lose no line; an empty
 table gives an empty result; other columns are ignored.
 
-Scale: shards hold about `per_shard` keys each, so their number follows the data and a
-shard's size doesn't. Lines stream past their shard's arrays. A shard with more lines
+Scale: shards hold about `per_shard` keys each and are probed by about `per_salt` lines, so
+their number follows the data and their size doesn't. Lines stream past their shard's arrays. A shard with more lines
 than most (a line that a third of all documents hold) is copied under several salts, in
 proportion to its lines, and its probes are dealt over the copies. The driver sees one
 number per shard.
@@ -156,7 +156,7 @@ def _keys(text: Column) -> Column:
     return F.transform(F.split(common.ascii_lower(text), "\n"), lambda x: F.btrim(x, F.lit(common.SPACES)))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, per_shard: int = 200_000, per_salt: int = 2_000_000) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, per_shard: int = 16_384, per_salt: int = 250_000) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_dropped, kept (the text that stays)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.fold_null(F.col("text")).alias("text"))
@@ -167,7 +167,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, per_shard: int = 200
 
     keys = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     keys = common.materialise(keys.where("keeper <> last").drop("last"), "keys")
-    shards = max(1, keys.count() // per_shard + 1)
+    shards = max(keys.count() // per_shard, lines.count() // per_salt) + 1
     shard = F.pmod(F.xxhash64("h2", "h1"), F.lit(shards)).cast("int").alias("shard")
     index = keys.select(shard, "h1", "h2", "n", "keeper").groupBy("shard").applyInPandas(_pack_group, "shard int, n_lines long, packed binary")
     index = common.materialise(index, "index")

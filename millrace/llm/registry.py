@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, line_dedup, ngram_join, pieces, url_rules
+from . import decontaminate, exact_dedup, line_dedup, ngram_join, pieces, quality, toxicity, url_rules
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_ngram_join": ngram_join.op5_ngram_join,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_pieces": pieces.op8_pieces,
     "op9_decontaminate": decontaminate.op9_decontaminate,

@@ -1,7 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Method: a document is the set of its terms, words and word beginnings of four to seven
-letters, hashed into 2^20 places. On the labelled sample the places whose document
+letters (and each of them again where two or three distinct words have it), hashed into
+2^20 places. On the labelled sample the places whose document
 frequency differs most between the two labels (a z-score of at least `least_z`, at most
 `terms` of them) become the inputs. A factorization machine gives each a weight and a
 vector of `rank` factors; the logit is the bias, the weights and the inner products of
@@ -20,6 +21,7 @@ one pass without a shuffle, with a model of a few hundred KB.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,7 @@ SAMPLE, TERMS, RANK, LEAST_Z = 8000, 2048, 8, 4.0
 THRESHOLD, PARTS, HELD = 0.3, 4, 2
 _WORD = re.compile(r"\w+")
 _BEGINNINGS = (4, 5, 6, 7)
+_TIMES = (1, 2, 3)
 
 
 def terms_of(word: str) -> list[int]:
@@ -44,10 +47,20 @@ def terms_of(word: str) -> list[int]:
     return out
 
 
+def counted(place: int | np.ndarray, times: int) -> int | np.ndarray:
+    """Place of the term 'this term, in at least so many distinct words'."""
+    return place if times == 1 else (place * 2654435761 + times * 40503) % PLACES
+
+
+def _places(text: str) -> np.ndarray:
+    raw = np.array([t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)], np.int64)
+    raw, n = np.unique(raw, return_counts=True)
+    return np.unique(np.concatenate([counted(raw[n >= k], k) for k in _TIMES])).astype(np.int32)
+
+
 def _features(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in pdfs:
-        x = [np.unique(np.array([t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)], np.int32)) for text in pdf["text"]]
-        yield pd.DataFrame({"rank": pdf["rank"], "label": pdf["label"], "x": x})
+        yield pd.DataFrame({"rank": pdf["rank"], "label": pdf["label"], "x": [_places(text) for text in pdf["text"]]})
 
 
 def logits(model: dict, x: np.ndarray) -> np.ndarray:
@@ -100,16 +113,16 @@ class Scorer:
         self.words: dict[str, tuple[int, ...]] = {}
 
     def columns(self, text: str) -> list[int]:
-        found: set[int] = set()
+        found: Counter[int] = Counter()
         for w in set(_WORD.findall(text.lower())):
             mine = self.words.get(w)
             if mine is None:
                 if len(self.words) >= self.MOST_WORDS:
                     self.words.clear()
-                mine = self.words[w] = tuple(self.column[t] for t in terms_of(w) if t in self.column)
+                mine = self.words[w] = tuple(t for t in terms_of(w) if any(counted(t, k) in self.column for k in _TIMES))
             if mine:
                 found.update(mine)
-        return sorted(found)
+        return sorted({self.column[c] for t, n in found.items() for k in _TIMES if n >= k and (c := counted(t, k)) in self.column})
 
     def score(self, text: str) -> float:
         at = self.columns(text)

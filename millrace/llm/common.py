@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # The six characters of [\x20\x09-\x0D], and the two alphabets.
 SPACES = " \t\n\x0b\x0c\r"
@@ -89,3 +93,24 @@ def let(value: Column, body) -> Column:
     a lambda's own variable isn't.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def map_texts(df: DataFrame, keep: list[str], schema: str, start: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
+    """The columns `keep` of df, and those of `schema` computed from the column text.
+
+    start() is called once a task and returns what is called with the texts of a batch
+    (null: empty); it gives one Arrow-convertible list a column. Kept columns pass through
+    as Arrow, so nulls and large numbers are the same afterwards.
+    """
+    df = df.select(*dict.fromkeys([*keep, "text"]))
+    new = T.StructType.fromDDL(schema)
+    types = to_arrow_schema(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            made = [x if isinstance(x, pa.Array) else pa.array(x, types.field(i).type) for i, x in enumerate(compute(texts))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, [*keep, *types.names])
+
+    return df.mapInArrow(run, T.StructType([df.schema[c] for c in keep] + new.fields))

@@ -78,38 +78,38 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n + num * -n // den + 1 if n else 0
 
 
-def _scan(n: int, num: int, den: int, pool: float):
-    """Rows of (doc_id, text) to rows with the set's size, digest and the tokens that order 1 may need."""
+def _identity(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for the whole set."""
+    a, b = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+    return int(a), int(b)
+
+
+def _scan(docs: DataFrame, n: int, num: int, den: int, pool: float) -> DataFrame:
+    """Of each row the set's size and identity, and the tokens that order 1 may need, those of the pool first."""
     top = np.uint64(min(2**64 - 1, int(pool * 2**64)))
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            size, node, check, inside, tokens = [], [], [], [], []
-            for text in pdf["text"]:
-                s = shingles(text, n)
-                d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                k = int(np.searchsorted(s, top, side="right"))
-                size.append(len(s))
-                node.append(d[0])
-                check.append(d[1])
-                inside.append(k)
-                tokens.append(s[: max(k, prefix_length(len(s), num, den))].view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": size, "node": node, "check": check, "pooled": inside, "tokens": tokens})
-
-    return run, "doc_id long, n int, node long, check long, pooled int, tokens array<long>"
-
-
-def _sets(n: int):
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            rows = []
-            for text in pdf["text"]:
-                s = shingles(text, n)
-                d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                rows.append((d[0], s.tobytes()))
-            yield pd.DataFrame(rows, columns=["node", "set"])
+    def compute(texts: list[str]) -> list[list]:
+        size, node, check, inside, tokens = [], [], [], [], []
+        for text in texts:
+            s = shingles(text, n)
+            a, b = _identity(s)
+            k = int(np.searchsorted(s, top, side="right"))
+            size.append(len(s))
+            node.append(a)
+            check.append(b)
+            inside.append(k)
+            tokens.append(s[: max(k, prefix_length(len(s), num, den))].view(np.int64))
+        return [size, node, check, inside, tokens]
+
+    return common.map_texts(docs, ["doc_id"], "n int, node long, check long, pooled int, tokens array<long>", lambda: compute)
+
+
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    def compute(texts: list[str]) -> list[list]:
+        sets = [shingles(text, n) for text in texts]
+        return [[_identity(s)[0] for s in sets], [s.tobytes() for s in sets]]
 
-    return run, "node long, `set` binary"
+    return common.map_texts(docs, [], "node long, `set` binary", lambda: compute)
 
 
 _SIGNATURE_WORDS = 8
@@ -249,8 +249,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block
     """
     pool = min(1.0, 2 * (1 - num / den)) if pool is None else pool
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    run, schema = _scan(n, num, den, pool)
-    feats = common.materialise(docs.mapInPandas(run, schema), "shingles")
+    feats = common.materialise(_scan(docs, n, num, den, pool), "shingles")
 
     rows = common.materialise(_index(feats, num, den), "prefixes")
     holders = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2")).where("m > 1")
@@ -265,8 +264,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block
     mine = pairs.select("node").distinct()
     first = feats.join(mine, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = common.may_contain(docs, "doc_id", common.bitmap_filter(first, "doc_id"))
-    run, schema = _sets(n)
-    sets = texts.mapInPandas(run, schema).join(mine, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+    sets = _sets(texts, n).join(mine, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
     dealt = pairs.join(sets, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     run, schema = _join_task(num, den)
     links = dealt.select("token", "i", "j", "node", "side", "set").mapInPandas(run, schema)

@@ -27,7 +27,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -234,11 +233,11 @@ def _chunks(texts: list[str], most: int) -> Iterator[list[str]]:
         yield part
 
 
-def encoded(pdf: pd.DataFrame, model: PieceModel) -> pd.DataFrame:
-    """Adds ids (as text, comma-joined), n_tokens and decoded to the rows."""
+def encoded(texts: list[str], model: PieceModel) -> tuple[list[int], list[str], list[str]]:
+    """Number of ids, the ids as text (comma-joined) and the text decoded from them, of each text."""
     n, ids, back = [], [], []
-    for texts in _chunks([t or "" for t in pdf["text"]], 2_000_000):
-        split = [model.split(t) for t in texts]
+    for part in _chunks(texts, 2_000_000):
+        split = [model.split(t) for t in part]
         model.learn(set().union(*split))
         get = model.words.__getitem__
         for words in split:
@@ -246,29 +245,26 @@ def encoded(pdf: pd.DataFrame, model: PieceModel) -> pd.DataFrame:
             n.append(sum([r[0] for r in rows]))
             ids.append(",".join([r[1] for r in rows]))
             back.append("".join([r[2] for r in rows])[1:])
-    return pdf.assign(n_tokens=n, ids=ids, decoded=back)
+    return n, ids, back
 
 
-def encode_documents(docs: DataFrame, model_path: str, keep: list[str] = ("doc_id",), digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, keep: list[str], digests: bool = False) -> DataFrame:
     """The columns `keep` with n_tokens, ids and decoded of each text (or the SHA-256 of those two)."""
     with open(model_path, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())  # half a megabyte, whatever the corpus
+    sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         model = load(model_path, held.value)
-        for pdf in pdfs:
-            out = encoded(pdf, model)
-            if digests:
-                sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-                out = out.assign(ids_sha256=[sha(x) for x in out["ids"]], decoded_sha256=[sha(x) for x in out["decoded"]])
-                yield out[[*keep, "n_tokens", "ids_sha256", "decoded_sha256"]]
-            else:
-                yield out[[*keep, "n_tokens", "ids", "decoded"]]
 
-    df = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    last = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids string, decoded string"
-    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.mapInPandas(run, f"{kept}, {last}")
+        def run(texts: list[str]) -> list[list]:
+            n, ids, back = encoded(texts, model)
+            return [n, [sha(x) for x in ids], [sha(x) for x in back]] if digests else [n, ids, back]
+
+        return run
+
+    names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
+    return common.map_texts(docs, keep, f"n_tokens long, {names[0]} string, {names[1]} string", start)
 
 
 def default_model() -> str:
@@ -280,4 +276,4 @@ def default_model() -> str:
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents with its number of ids and the hashes of the ids and of the text decoded from them."""
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return encode_documents(docs, default_model(), digests=True)
+    return encode_documents(docs, default_model(), ["doc_id"], digests=True)

@@ -167,8 +167,8 @@ def fit(rows: pd.DataFrame, epochs: int = 25, batch: int = 64, seed: int = 11) -
 def scores(model: dict, encoder: Encoder, texts: list[str]) -> list[float]:
     out, part, size = [], [], 0
     for i, t in enumerate(texts):
-        part.append(t or "")
-        size += len(part[-1])
+        part.append(t)
+        size += len(t)
         if size > 500_000 or i == len(texts) - 1:
             x, count = encoder.passages(part)
             out += _forward(model, (x - model["mean"]) / model["std"], count)["p"].astype(float).tolist()
@@ -185,13 +185,11 @@ def scored(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs with the score of each whole text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         encoder = Encoder()
-        for pdf in pdfs:
-            yield pdf[keep].assign(score=scores(held.value, encoder, list(pdf["text"])))
+        return lambda texts: [scores(held.value, encoder, texts)]
 
-    df = docs.select(*dict.fromkeys([*keep, "text"]))
-    return df.mapInPandas(run, ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", score double")
+    return common.map_texts(docs, keep, "score double", start)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,13 +141,11 @@ def scored(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs with the score of each whole text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         scorer = Scorer(held.value)
-        for pdf in pdfs:
-            yield pdf[keep].assign(score=[scorer.score(t) if t else scorer.score("") for t in pdf["text"]])
+        return lambda texts: [[scorer.score(t) for t in texts]]
 
-    df = docs.select(*dict.fromkeys([*keep, "text"]))
-    return df.mapInPandas(run, ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", score double")
+    return common.map_texts(docs, keep, "score double", start)
 
 
 def with_verdict(df: DataFrame, held: Column) -> DataFrame:

@@ -13,11 +13,13 @@ verified only if it passes all of them:
 The size filter comes with them. Documents with equal sets are one class and are joined
 as one. Verification counts shared tokens exactly.
 
-Skew: an index token whose holders are many is cut into blocks of about `block` classes
-and its pairs are dealt over all pairs of blocks. Pairs are formed inside those tasks in
+Skew: classes that share index tokens, at first or second hand, form clusters. A cluster is
+joined as a whole or token by token, whichever copies fewer sets; either is cut into
+blocks of about `block` classes whose pairs are dealt over tasks, and tokens with the
+same holders are joined once. Pairs are formed inside tasks in
 numpy and never become rows; a task returns only links that connect what it hasn't
-connected yet, so at most one less than its documents. Tokens with the same holders
-are joined once. No pair is left out: each one that shares an index token meets in a task.
+connected yet, so at most one less than its documents. No pair is left out: each one
+that shares an index token meets in a task.
 
 Defined cases: a null, empty or blank text has no words, an empty set, and is linked with
 nothing, not even with another empty one; fewer words than a shingle make one shingle of
@@ -115,10 +117,14 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 _SIGNATURE_WORDS = 8
 
 
-def signature(s: np.ndarray, order: int, length: int) -> np.ndarray:
-    """512 bits for the first `length` tokens of s under another order."""
+def first_tokens(s: np.ndarray, order: int, length: int) -> np.ndarray:
+    """The first `length` tokens of s under another order, by their hashes there."""
     keys = _finish(s * _K[order] + _K[order + 1])
-    first = np.partition(keys, length - 1)[:length] if length < len(keys) else keys
+    return np.partition(keys, length - 1)[:length] if length < len(keys) else keys
+
+
+def signature(first: np.ndarray) -> np.ndarray:
+    """512 bits for a few tokens."""
     bit = (first & np.uint64(64 * _SIGNATURE_WORDS - 1)).astype(np.int64)
     out = np.zeros(_SIGNATURE_WORDS, np.uint64)
     np.bitwise_or.at(out, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
@@ -165,7 +171,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links_within(nodes: list[int], sets: list[np.ndarray], side: list[int], num: int, den: int) -> list[tuple[int, int]]:
+def links_within(nodes: list[int], sets: list[np.ndarray], index: list[np.ndarray], side: list[int], num: int, den: int) -> list[tuple[int, int]]:
     """Links among the classes of one task: all pairs, or those across sides 0 and 1 where both occur."""
     n = np.array([len(s) for s in sets])
     zero = [i for i, x in enumerate(side) if x == 0]
@@ -174,10 +180,10 @@ def links_within(nodes: list[int], sets: list[np.ndarray], side: list[int], num:
     i, j = (x.ravel() for x in np.meshgrid(np.array(left), np.array(right), indexing="ij"))
     ok = i < j if left is right else np.ones(len(i), bool)
     ok &= np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
-    for order in (1, 2):
+    for order in (0, 1, 2):
         if not ok.any():
             return []
-        sig = np.array([signature(s, order, prefix_length(len(s), num, den)) for s in sets])
+        sig = np.array([signature(_finish(x) if order == 0 else first_tokens(s, order, prefix_length(len(s), num, den))) for s, x in zip(sets, index, strict=True)])
         at = np.flatnonzero(ok)
         ok[at] = (sig[i[at]] & sig[j[at]]).any(axis=1)
     i, j = i[ok], j[ok]
@@ -200,23 +206,24 @@ def links_within(nodes: list[int], sets: list[np.ndarray], side: list[int], num:
 
 
 def _join_task(num: int, den: int):
-    """Rows come sorted by (token, i, j); each such group is joined on its own."""
+    """Rows come sorted by (task, i, j); each such group is joined on its own."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, key, found = [], None, []
 
         def close() -> None:
             if len(held) > 1:
-                nodes, sides, sets = zip(*held, strict=True)
-                found.extend(links_within(list(nodes), [np.frombuffer(s, np.uint64) for s in sets], list(sides), num, den))
+                nodes, sides, sets, index = zip(*held, strict=True)
+                index = [np.asarray(x, np.int64).view(np.uint64) for x in index]
+                found.extend(links_within(list(nodes), [np.frombuffer(s, np.uint64) for s in sets], index, list(sides), num, den))
             held.clear()
 
         for pdf in pdfs:
-            for token, i, j, node, side, s in zip(pdf["token"], pdf["i"], pdf["j"], pdf["node"], pdf["side"], pdf["set"], strict=True):
-                if (token, i, j) != key:
+            for task, i, j, node, side, s, x in zip(pdf["task"], pdf["i"], pdf["j"], pdf["node"], pdf["side"], pdf["set"], pdf["index"], strict=True):
+                if (task, i, j) != key:
                     close()
-                    key = (token, i, j)
-                held.append((node, side, s))
+                    key = (task, i, j)
+                held.append((node, side, s, x))
             if len(found) > 10_000:
                 yield pd.DataFrame(found, columns=["a", "b"])
                 found.clear()
@@ -242,6 +249,35 @@ def _index(feats: DataFrame, num: int, den: int) -> DataFrame:
     return inside.unionByName(outside)
 
 
+def _deal(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Which classes meet in which task: (task, i, j, node, side), and the classes that meet any.
+
+    Classes that share index tokens, at first or second hand, are a cluster. A cluster is
+    joined as a whole, cut into blocks of about `block` classes, or token by token, each
+    token's holders cut into blocks: whichever takes fewer copies of sets. Dense clusters
+    are joined whole; a large one that hangs together by few tokens is not.
+    """
+    holders = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2")).where("m > 1")
+    # Of tokens with the same holders one is enough.
+    tokens = holders.groupBy("m", "x1", "x2").agg(F.min("token").alias("token"), F.min("first").alias("first")).select("token", "m", "first")
+    held = common.materialise(rows.join(tokens, "token").select("token", "node", F.ceil(F.col("m") / block).cast("int").alias("blocks"), "first"), "held")
+    near = components(held.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    by_token = held.join(near, "node").groupBy("root").agg(F.sum("blocks").alias("by_token"))
+    sizes = near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size")).join(by_token, "root")
+    sizes = sizes.select("root", "blocks", (F.col("size") * F.col("blocks") <= F.col("by_token")).alias("whole"))
+    near = common.materialise(near.join(sizes, "root"), "clusters")
+    whole = near.where("whole").select(F.col("root").alias("task"), "node", "blocks", F.lit(-1).alias("kind"))
+    parts = held.join(near.where("not whole").select("node"), "node", "left_semi").select(F.col("token").alias("task"), "node", "blocks", F.lit(0).alias("kind"))
+    members = whole.unionByName(parts).withColumn("own", F.pmod(F.xxhash64("node", "task"), F.col("blocks")).cast("int"))
+    pairs = members.select("task", "kind", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    # Within one block the pairs are of one side; across two, the sides are the two blocks. Negative i: a whole cluster's.
+    pairs = pairs.select(
+        "task", F.when(F.col("kind") < 0, -1 - F.least("own", "other")).otherwise(F.least("own", "other")).alias("i"), F.greatest("own", "other").alias("j"),
+        "node", (F.col("own") > F.col("other")).cast("int").alias("side"),
+    )
+    return pairs, near.select("node")
+
+
 def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block: int = 512, pool: float | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, node (its class).
 
@@ -252,22 +288,14 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block
     feats = common.materialise(_scan(docs, n, num, den, pool), "shingles")
 
     rows = common.materialise(_index(feats, num, den), "prefixes")
-    holders = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2")).where("m > 1")
-    tokens = holders.groupBy("m", "x1", "x2").agg(F.min("token").alias("token")).select("token", "m")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    members = rows.join(tokens, "token").select("token", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "token"), blocks).cast("int").alias("own"))
-    pairs = members.select("token", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("token", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    # Within one block the pairs are of one side; across two, the sides are the two blocks.
-    pairs = common.materialise(pairs, "block-pairs")
-
-    mine = pairs.select("node").distinct()
+    pairs, mine = _deal(rows, block)
     first = feats.join(mine, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = common.may_contain(docs, "doc_id", common.bitmap_filter(first, "doc_id"))
     sets = _sets(texts, n).join(mine, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
-    dealt = pairs.join(sets, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    index = rows.join(mine, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("index"))
+    dealt = pairs.join(sets.join(index, "node"), "node").repartition("task", "i", "j").sortWithinPartitions("task", "i", "j")
     run, schema = _join_task(num, den)
-    links = dealt.select("token", "i", "j", "node", "side", "set").mapInPandas(run, schema)
+    links = dealt.select("task", "i", "j", "node", "side", "set", "index").mapInPandas(run, schema)
     roots = components(links)
 
     ids = feats.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))

@@ -425,8 +425,8 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("sample_no", F.row_number().over(Window.partitionBy("worker").orderBy("t_ms", "event_id")) - 1)
 
 
-_SAMPLES = """WITH s AS (SELECT CAST(user_id % 4 AS INTEGER) AS worker, epoch_ms(ts) AS t_ms, event_id, value, CAST(event_type = 'error' AS BIGINT) AS local,
-  row_number() OVER (PARTITION BY user_id % 4 ORDER BY epoch_ms(ts), event_id) - 1 AS sample_no FROM events)"""
+_SAMPLES = """WITH s AS (SELECT CAST(user_id % 4 AS INTEGER) AS worker, epoch_us(ts) // 1000 AS t_ms, event_id, value, CAST(event_type = 'error' AS BIGINT) AS local,
+  row_number() OVER (PARTITION BY user_id % 4 ORDER BY epoch_us(ts) // 1000, event_id) - 1 AS sample_no FROM events)"""
 
 
 @query("SELECT event_id // 100 AS block, round(avg(value), 6) AS value FROM events GROUP BY 1")

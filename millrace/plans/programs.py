@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.graph import Graph
 from millrace.operators.components import connected_components
+from millrace.plans import local
 from millrace.plans.supersteps import Run, VertexProgram, run
 from millrace.runtime import materialise
 
@@ -24,8 +25,8 @@ class ShortestPaths(VertexProgram):
     name = "shortest-paths"
     values = ["dist", "pre", "zero", "goal"]
 
-    def __init__(self, prune: bool = True, goals: DataFrame | None = None, step_factor: float | None = None):
-        self.prune, self.goals, self.step_factor = prune, goals, step_factor
+    def __init__(self, prune: bool = True):
+        self.prune = prune
 
     def start(self, graph: Graph, queries: DataFrame) -> DataFrame:
         rows = queries.select("query_id", F.col("source").cast("long").alias("id"), F.col("target").cast("long").alias("goal"))
@@ -57,21 +58,30 @@ class ShortestPaths(VertexProgram):
         return (F.col("dist") <= F.col("agg_reached")) | F.col("agg_reached").isNull() if self.prune else None
 
 
-def shortest_paths(graph: Graph, queries: DataFrame, prune: bool = True) -> Run:
-    """Distances of queries(query_id, source, target) over a graph of checked weights."""
+def shortest_paths(graph: Graph, queries: DataFrame, prune: bool = True, local_edges: int = local.MOST_EDGES) -> Run:
+    """Distances of queries(query_id, source, target) over a graph of checked weights.
+
+    A graph of at most local_edges edges is searched without supersteps (0: never); that
+    run's state has no steps.
+    """
     graph.check_weights()
+    if local_edges and local.fits(graph, local_edges):
+        state = materialise(local.shortest_paths(graph, queries, prune), "shortest-paths")
+        return Run(graph.edges.sparkSession, state.withColumns({"first_step": F.lit(0), "last_step": F.lit(0)}), local=True)
     return run(ShortestPaths(prune), graph, queries)
 
 
-def paths(result: DataFrame, targets: DataFrame) -> DataFrame:
+def paths(done: Run, targets: DataFrame) -> DataFrame:
     """(query_id, step, vertex, dist) from each target back to its source; step 0 is the target.
 
-    result is a state of ShortestPaths, targets(query_id, target) has a row per admitted
+    done is a run of shortest_paths, targets(query_id, target) has a row per admitted
     query, so the frontier that is broadcast each hop is as small as the batch. An
     unreached target has no rows.
     """
+    if done.local:  # a query's state is no larger than the small graph
+        return done.state.select("query_id", "id", "dist", "pre", "goal").groupBy("query_id").applyInPandas(local.walk, "query_id int, step int, vertex long, dist double")
     at = targets.select("query_id", F.col("target").cast("long").alias("id"))
-    reached = result.select("query_id", "id", "dist", "pre")
+    reached = done.state.select("query_id", "id", "dist", "pre")
     found, step = None, 0
     while True:
         rows = reached.join(F.broadcast(at), ["query_id", "id"]).select("query_id", F.lit(step).alias("step"), F.col("id").alias("vertex"), "dist", "pre")

@@ -66,6 +66,7 @@ class Run:
     spark: SparkSession
     state: DataFrame
     steps: list[tuple] = field(default_factory=list)
+    local: bool = False
 
     METRICS = "superstep int, query_id int, active long, touched_new long, touched long, wall_ms double"
 
@@ -84,7 +85,6 @@ def run(program: VertexProgram, graph: Graph, queries: DataFrame, max_steps: int
     state = program.start(graph, queries).withColumns({"active": F.lit(True), "first_step": F.lit(0), "last_step": F.lit(0)})
     state = materialise(state, f"{program.name}-0")
     out = Run(spark, state)
-    params = [c for c in queries.columns if c != "query_id"]
     for step in range(max_steps):
         counts = state.groupBy("query_id").agg(
             F.count_if("active").alias("active"), F.count_if(F.col("first_step") == step).alias("new"), F.count(F.lit(1)).alias("touched"), *program.aggregate()

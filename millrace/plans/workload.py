@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.graph import Graph
-from millrace.plans import programs
+from millrace.plans import local, programs
 from millrace.plans.supersteps import Run
 
 
-def answer(graph: Graph, queries: DataFrame) -> tuple[DataFrame, DataFrame, Run]:
+def answer(graph: Graph, queries: DataFrame, local_edges: int = local.MOST_EDGES) -> tuple[DataFrame, DataFrame, Run]:
     """Of one batch: the paths, (query_id, source, target, dist) with a null dist where there is no path, and the run."""
-    done = programs.shortest_paths(graph, queries.select("query_id", "source", "target"))
-    walked = programs.paths(done.state, queries.select("query_id", "target"))
+    done = programs.shortest_paths(graph, queries.select("query_id", "source", "target"), local_edges=local_edges)
+    walked = programs.paths(done, queries.select("query_id", "target"))
     dist = done.state.where("id = goal").select("query_id", "dist")
     return walked, queries.select("query_id", "source", "target").join(dist, "query_id", "left"), done
 

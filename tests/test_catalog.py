@@ -1,7 +1,7 @@
 """Each engine query against its SQL on the smallest tables, and the driver's entry points."""
 
 import pytest
-from conftest import SF, duck_rows, rows_of
+from helpers import SF, duck_rows, rows_of
 
 import __spark_entry__
 from millrace import catalog

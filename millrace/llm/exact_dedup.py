@@ -62,8 +62,8 @@ class MergeIndex:
         place = f"{self.root}/flush-{len(self.runs)}"
         (run.sortWithinPartitions(column, "digest").write.partitionBy(column)
             .option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(place))
-        written = self.spark.read.parquet(place)
-        have = sorted(r[0] for r in written.select(column).distinct().collect()) if column in written.columns else []
+        written = self.spark.read.schema(f"{self.schema}, {column} INT").parquet(place)
+        have = sorted(r[0] for r in written.select(column).distinct().collect())  # the memtables' numbers
         self.runs += [f"{place}/{column}={k}" for k in have]
 
     schema = "digest BINARY, best STRUCT<neg_cp: INT, no_id: BOOLEAN, id: BIGINT>, n_rows BIGINT"

@@ -14,8 +14,8 @@ The size filter comes with them. Documents with equal sets are one class and are
 as one. Verification counts shared tokens exactly.
 
 Skew: classes that share index tokens, at first or second hand, form clusters. A cluster is
-joined as a whole or token by token, whichever copies fewer sets; either is cut into
-blocks of about `block` classes whose pairs are dealt over tasks, and tokens with the
+joined as a whole or token by token, whichever copies fewer tokens; either is cut into
+blocks of bounded numbers of classes and tokens whose pairs are dealt over tasks, and tokens with the
 same holders are joined once. Pairs are formed inside tasks in
 numpy and never become rows; a task returns only links that connect what it hasn't
 connected yet, so at most one less than its documents. No pair is left out: each one
@@ -171,37 +171,45 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+_ROWS = 256
+
+
 def links_within(nodes: list[int], sets: list[np.ndarray], index: list[np.ndarray], side: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """Links among the classes of one task: all pairs, or those across sides 0 and 1 where both occur."""
+    """Links among the classes of one task: all pairs, or those across sides 0 and 1 where both occur.
+
+    Pairs are looked at for a few classes against all others at a time, which bounds memory.
+    """
     n = np.array([len(s) for s in sets])
     zero = [i for i, x in enumerate(side) if x == 0]
     one = [i for i, x in enumerate(side) if x == 1]
     left, right = (zero, one) if zero and one else (zero or one, zero or one)
-    i, j = (x.ravel() for x in np.meshgrid(np.array(left), np.array(right), indexing="ij"))
-    ok = i < j if left is right else np.ones(len(i), bool)
-    ok &= np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
-    for order in (0, 1, 2):
-        if not ok.any():
-            return []
-        sig = np.array([signature(_finish(x) if order == 0 else first_tokens(s, order, prefix_length(len(s), num, den))) for s, x in zip(sets, index, strict=True)])
-        at = np.flatnonzero(ok)
-        ok[at] = (sig[i[at]] & sig[j[at]]).any(axis=1)
-    i, j = i[ok], j[ok]
-    if not len(i):
-        return []
-    if len(i) > 200:
-        position = np.empty(len(sets), np.int64)
-        position[left] = np.arange(len(left))
-        place = np.empty(len(sets), np.int64)
-        place[right] = np.arange(len(right))
-        shared = _overlaps([sets[x] for x in left], [sets[x] for x in right])[position[i], place[j]].astype(np.int64)
-    else:
-        shared = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
-    linked = shared * den >= (n[i] + n[j] - shared) * num
-    union, out = _Union(len(sets)), []
-    for x, y in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
-        if union.join(x, y):
-            out.append((nodes[x], nodes[y]))
+    alike = left is right
+    firsts = [
+        np.array([signature(_finish(x)) for x in index]),
+        *[np.array([signature(first_tokens(s, order, prefix_length(len(s), num, den))) for s in sets]) for order in (1, 2)],
+    ]
+    union, out, right = _Union(len(sets)), [], np.array(right)
+    for lo in range(0, len(left), _ROWS):
+        part = np.array(left[lo : lo + _ROWS])
+        i, j = (x.ravel() for x in np.meshgrid(part, right, indexing="ij"))
+        ok = i < j if alike else np.ones(len(i), bool)
+        ok &= np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
+        for sig in firsts:
+            at = np.flatnonzero(ok)
+            ok[at] = (sig[i[at]] & sig[j[at]]).any(axis=1)
+        i, j = i[ok], j[ok]
+        if not len(i):
+            continue
+        if len(i) > 200:
+            mine, theirs = np.unique(i), np.unique(j)
+            counts = _overlaps([sets[x] for x in mine], [sets[x] for x in theirs])
+            shared = counts[np.searchsorted(mine, i), np.searchsorted(theirs, j)].astype(np.int64)
+        else:
+            shared = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+        linked = shared * den >= (n[i] + n[j] - shared) * num
+        for x, y in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
+            if union.join(x, y):
+                out.append((nodes[x], nodes[y]))
     return out
 
 
@@ -235,7 +243,7 @@ def _join_task(num: int, den: int):
 
 
 def _index(feats: DataFrame, num: int, den: int) -> DataFrame:
-    """(token, node) of order 1's prefixes, without tokens that one class alone holds."""
+    """(node, n, token) of order 1's prefixes, without tokens that one class alone holds."""
     one = feats.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("pooled").alias("pooled"), F.first("tokens").alias("tokens"))
     rows = one.select("node", "n", "pooled", F.posexplode("tokens").alias("pos", "token"))
     pool = rows.where("pos < pooled").select("node", "n", "pooled", "token")
@@ -244,12 +252,12 @@ def _index(feats: DataFrame, num: int, den: int) -> DataFrame:
     length = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
     # Tokens of the pool that nobody shares come first in the order; only what is left of the prefix needs rows.
     left = length - (F.col("pooled") - F.size("met"))
-    inside = met.where(left > 0).select("node", F.explode(F.transform(F.slice("met", F.lit(1), left), lambda x: x["token"])).alias("token"))
-    outside = rows.where((F.col("pos") >= F.col("pooled")) & (F.col("pos") < length)).select("node", "token")
+    inside = met.where(left > 0).select("node", "n", F.explode(F.transform(F.slice("met", F.lit(1), left), lambda x: x["token"])).alias("token"))
+    outside = rows.where((F.col("pos") >= F.col("pooled")) & (F.col("pos") < length)).select("node", "n", "token")
     return inside.unionByName(outside)
 
 
-def _deal(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+def _deal(rows: DataFrame, block: int, block_tokens: int) -> tuple[DataFrame, DataFrame]:
     """Which classes meet in which task: (task, i, j, node, side), and the classes that meet any.
 
     Classes that share index tokens, at first or second hand, are a cluster. A cluster is
@@ -257,15 +265,19 @@ def _deal(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     token's holders cut into blocks: whichever takes fewer copies of sets. Dense clusters
     are joined whole; a large one that hangs together by few tokens is not.
     """
-    holders = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2")).where("m > 1")
+    cut = lambda count, tokens: F.greatest(F.ceil(count / block), F.ceil(tokens / block_tokens)).cast("int")
+    holders = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2")).where("m > 1")
     # Of tokens with the same holders one is enough.
-    tokens = holders.groupBy("m", "x1", "x2").agg(F.min("token").alias("token"), F.min("first").alias("first")).select("token", "m", "first")
-    held = common.materialise(rows.join(tokens, "token").select("token", "node", F.ceil(F.col("m") / block).cast("int").alias("blocks"), "first"), "held")
+    tokens = holders.groupBy("m", "t", "x1", "x2").agg(F.min("token").alias("token"), F.min("first").alias("first"))
+    tokens = tokens.select("token", "first", cut(F.col("m"), F.col("t")).alias("blocks"))
+    held = common.materialise(rows.join(tokens, "token").select("token", "node", "n", "blocks", "first"), "held")
     near = components(held.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    by_token = held.join(near, "node").groupBy("root").agg(F.sum("blocks").alias("by_token"))
-    sizes = near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size")).join(by_token, "root")
-    sizes = sizes.select("root", "blocks", (F.col("size") * F.col("blocks") <= F.col("by_token")).alias("whole"))
-    near = common.materialise(near.join(sizes, "root"), "clusters")
+    size_of = held.groupBy("node").agg(F.first("n").alias("n"), F.sum(F.col("n") * F.col("blocks")).alias("by_token"))
+    near = near.join(size_of, "node")
+    sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"), F.sum("by_token").alias("by_token"))
+    sizes = sizes.select("root", "t", "by_token", cut(F.col("m"), F.col("t")).alias("blocks"))
+    sizes = sizes.select("root", "blocks", (F.col("t") * F.col("blocks") <= F.col("by_token")).alias("whole"))
+    near = common.materialise(near.select("node", "root").join(sizes, "root"), "clusters")
     whole = near.where("whole").select(F.col("root").alias("task"), "node", "blocks", F.lit(-1).alias("kind"))
     parts = held.join(near.where("not whole").select("node"), "node", "left_semi").select(F.col("token").alias("task"), "node", "blocks", F.lit(0).alias("kind"))
     members = whole.unionByName(parts).withColumn("own", F.pmod(F.xxhash64("node", "task"), F.col("blocks")).cast("int"))
@@ -278,7 +290,7 @@ def _deal(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     return pairs, near.select("node")
 
 
-def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block: int = 512, pool: float | None = None) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block: int = 2048, block_tokens: int = 500_000, pool: float | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, node (its class).
 
     Two documents link when den * shared >= num * union of their n-word shingle sets.
@@ -288,7 +300,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block
     feats = common.materialise(_scan(docs, n, num, den, pool), "shingles")
 
     rows = common.materialise(_index(feats, num, den), "prefixes")
-    pairs, mine = _deal(rows, block)
+    pairs, mine = _deal(rows, block, block_tokens)
     first = feats.join(mine, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = common.may_contain(docs, "doc_id", common.bitmap_filter(first, "doc_id"))
     sets = _sets(texts, n).join(mine, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
@@ -296,7 +308,8 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block
     dealt = pairs.join(sets.join(index, "node"), "node").repartition("task", "i", "j").sortWithinPartitions("task", "i", "j")
     run, schema = _join_task(num, den)
     links = dealt.select("task", "i", "j", "node", "side", "set", "index").mapInPandas(run, schema)
-    roots = components(links)
+    # Written first: the components read their edges more than once.
+    roots = components(common.materialise(links, "links"))
 
     ids = feats.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
     named = ids.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))

@@ -19,7 +19,8 @@ from millrace.llm import common, decontaminate, exact_dedup, ngram_join, pieces,
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the doc_ids in gone; Spark broadcasts gone only where its size is below its threshold."""
-    return docs.join(common.materialise(gone.select(F.col("doc_id").alias("_gone")).distinct(), "dropped"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = common.materialise(gone.select(F.col("doc_id").alias("gone_id")).distinct(), "dropped")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +43,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Ids of several rows: their kept texts, one row each.
     digest = exact_dedup.sha_digest(common.without_spaces(common.fold_null(F.col("text"))))
     columns = clean.columns
-    rows = clean.join(twice, "doc_id", "left_semi").withColumn("_digest", digest)
-    keep = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept")).distinct()
-    rows = rows.join(keep, (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("_kept")), "left_semi")
+    rows = clean.join(twice, "doc_id", "left_semi").withColumn("millrace_digest", digest)
+    keep = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
+    rows = rows.join(keep, (rows["doc_id"] == keep["kept_id"]) & (rows["millrace_digest"] == keep["kept_digest"]), "left_semi")
     longest = F.max_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.char_length(common.fold_null(F.col("text"))))
-    rows = rows.groupBy("doc_id", "_digest").agg(longest.alias("_row")).select("_row.*")
+    rows = rows.groupBy("doc_id", "millrace_digest").agg(longest.alias("millrace_row")).select("millrace_row.*")
     return _without(clean, twice).unionByName(rows)
 
 

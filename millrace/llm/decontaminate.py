@@ -21,6 +21,8 @@ found by a filter of fixed size. No group is gathered beyond one document's own
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,10 @@ def _fingerprints(gram: Column, at: Column, length: int) -> Column:
     return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.get(gram, i).alias("h")))
 
 
+def _all_fingerprints(length: int, gram: Column) -> Column:
+    return _fingerprints(gram, every(gram), length)
+
+
 def _items(bench: DataFrame) -> DataFrame:
     """Classes of items with equal words: class, words, item_ids."""
     rows = bench.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -119,7 +125,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, k: int = K, window: int = W
     def all_prints(h: Column) -> Column:
         count = F.array(F.struct(F.lit(-1).alias("pos"), F.size(h).alias("len"), F.xxhash64("doc_id", "text_hash").alias("h")))
         parts = [common.let(grams(h, k), lambda g: _fingerprints(g, winnowed(g, side + 1), k))]
-        parts += [common.let(grams(h, n), lambda g, n=n: _fingerprints(g, every(g), n)) for n in lengths]
+        # partial(), as a lambda's second parameter would be taken for the element's index
+        parts += [common.let(grams(h, n), partial(_all_fingerprints, n)) for n in lengths]
         return F.concat(count, *parts)
 
     prints_of = docs.select("doc_id", "text_hash", F.explode(common.let(word_hashes(F.col("text")), all_prints)).alias("f")).select("doc_id", "text_hash", "f.pos", "f.len", "f.h")

@@ -1,10 +1,11 @@
-"""The pipeline's stages against brute force on the smallest documents."""
+"""The pipeline's stages against brute force on the documents of sf0.01."""
 
 import corpus_pipeline
-from helpers import SF
 
 from millrace.llm import common, exact_dedup, pieces, toxicity
 
+SF = "/root/testdata/sf0.01"
+
 
 def test_stages(spark):
     import importlib.util

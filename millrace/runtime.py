@@ -17,13 +17,26 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: short lineage, true sizes, safe from lost executors."""
     spark = df.sparkSession
     place = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
     df.write.parquet(place)
+    _WRITTEN.append(place)
     return spark.read.schema(df.schema).parquet(place)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes what materialise() has written in this process; only after the results that rest on it were written or collected."""
+    hadoop, jvm, n = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(hadoop).delete(path, True))
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -69,3 +69,13 @@ def test_tags_do_not_depend_on_partitions(spark):
     a = {tuple(r) for r in readers.assign_tags(v.repartition(7), 0.2, 3).collect()}
     assert a == {tuple(r) for r in readers.assign_tags(v.coalesce(1), 0.2, 3).collect()}
     assert 100 < sum(t >= 0 for _, t in a) < 300
+
+
+def test_release_deletes_intermediate_results(spark):
+    from millrace import runtime
+
+    df = runtime.materialise(spark.range(3).toDF("id"), "test")
+    place = df.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    import os
+
+    assert os.path.isdir(place) and runtime.release(spark) >= 1 and not os.path.isdir(place)

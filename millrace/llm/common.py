@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from millrace.runtime import materialise, shared_dir, table
+
+__all__ = ["ascii_lower", "bitmap_filter", "fold_null", "let", "map_texts", "materialise", "may_contain", "shared_dir", "table", "without_spaces"]
+
 # The six characters of [\x20\x09-\x0D], and the two alphabets.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -21,31 +23,6 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 BITMAP_BITS = 32768
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    This cuts the lineage, survives the loss of any executor, and gives the
-    planner the true size, on which its choice of broadcast or shuffle rests.
-    """
-    spark = df.sparkSession
-    place = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; plain lower() serves where every character is one byte."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -1,38 +1,7 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components, as the graph engine finds them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from millrace.operators.components import connected_components as components
 
-from . import common
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
-    """(node, root) for every node on an edge; root is the component's smallest node.
-
-    Each step is an aggregation and an equi-join whose rows don't exceed the edges; the
-    number of rounds grows with the logarithm of the longest path. Self-loops give
-    single-node components; an empty table gives none. Nothing is collected but one
-    count and checksum a round.
-    """
-    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-    nodes = e.select("u").union(e.select(F.col("v").alias("u"))).distinct()
-    e = common.materialise(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star-edges")
-    seen = None
-    for _ in range(most):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # Large star: every larger neighbour of u moves to u's smallest.
-        big = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: every smaller neighbour of u, and u, move to u's smallest.
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = common.materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "star-edges")
-        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"no fixed point after {most} rounds")
-    return nodes.join(e, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("root"))
+__all__ = ["components"]

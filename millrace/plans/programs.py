@@ -25,8 +25,8 @@ class ShortestPaths(VertexProgram):
     name = "shortest-paths"
     values = ["dist", "pre", "zero", "goal"]
 
-    def __init__(self, prune: bool = True):
-        self.prune = prune
+    def __init__(self, prune: bool = True, step_factor: float | None = None):
+        self.prune, self.step_factor = prune, step_factor
 
     def start(self, graph: Graph, queries: DataFrame) -> DataFrame:
         rows = queries.select("query_id", F.col("source").cast("long").alias("id"), F.col("target").cast("long").alias("goal"))
@@ -46,7 +46,7 @@ class ShortestPaths(VertexProgram):
 
     def apply(self) -> list[Column]:
         take = self._better()
-        return [F.when(take, F.col(f"in_best.{c}")).otherwise(F.col(c)).alias(c) for c in ("dist", "pre", "zero")] + [F.coalesce("goal", F.col("in_best.goal")).alias("goal")]
+        return [F.when(take, F.col(f"in_best.{c}")).otherwise(F.col(c)).alias(c) for c in ("dist", "pre", "zero")] + [F.coalesce(c, F.col(f"in_best.{c}")).alias(c) for c in self.values[3:]]
 
     def active(self) -> Column:
         return F.col("in_any").isNotNull() & (F.col("dist").isNull() | (F.col("in_best.dist") < F.col("dist")))
@@ -54,21 +54,25 @@ class ShortestPaths(VertexProgram):
     def aggregate(self) -> list[Column]:
         return [F.min(F.when(F.col("id") == F.col("goal"), F.col("dist"))).alias("reached")]
 
+    def hold(self, step: int) -> Column | None:
+        """Far vertices wait until the steps have caught up with their distance; results don't change."""
+        return None if self.step_factor is None else F.col("dist") > (step + 1) * self.step_factor
+
     def bound(self) -> Column | None:
         return (F.col("dist") <= F.col("agg_reached")) | F.col("agg_reached").isNull() if self.prune else None
 
 
-def shortest_paths(graph: Graph, queries: DataFrame, prune: bool = True, local_edges: int = local.MOST_EDGES) -> Run:
+def shortest_paths(graph: Graph, queries: DataFrame, prune: bool = True, local_edges: int = local.MOST_EDGES, step_factor: float | None = None) -> Run:
     """Distances of queries(query_id, source, target) over a graph of checked weights.
 
     A graph of at most local_edges edges is searched without supersteps (0: never); that
-    run's state has no steps.
+    run's state has no steps. step_factor throttles far vertices.
     """
     graph.check_weights()
-    if local_edges and local.fits(graph, local_edges):
+    if step_factor is None and local_edges and local.fits(graph, local_edges):
         state = materialise(local.shortest_paths(graph, queries, prune), "shortest-paths")
         return Run(graph.edges.sparkSession, state.withColumns({"first_step": F.lit(0), "last_step": F.lit(0)}), local=True)
-    return run(ShortestPaths(prune), graph, queries)
+    return run(ShortestPaths(prune, step_factor), graph, queries)
 
 
 def paths(done: Run, targets: DataFrame) -> DataFrame:
@@ -93,14 +97,47 @@ def paths(done: Run, targets: DataFrame) -> DataFrame:
         step += 1
 
 
-def nearest_tagged(graph: Graph, queries: DataFrame, tags: DataFrame) -> DataFrame:
+class NearestTag(ShortestPaths):
+    """Shortest paths to any vertex with the query's tag; senders beyond the nearest hit stop.
+
+    Edges carry their target's tag, so a vertex learns with its first message whether it is a hit.
+    """
+
+    name = "nearest-tag"
+    values = ["dist", "pre", "zero", "goal", "hit"]
+
+    def __init__(self, tags: DataFrame):
+        super().__init__(True)
+        self.tags = tags
+
+    def start(self, graph: Graph, queries: DataFrame) -> DataFrame:
+        rows = super().start(graph, queries.select("query_id", "source", F.col("tag").alias("target")))
+        return rows.join(self.tags.select("id", "tag"), "id", "left").select(*["query_id", "id", *self.values[:4]], F.coalesce(F.col("tag") == F.col("goal"), F.lit(False)).alias("hit"))
+
+    def edges(self, graph: Graph) -> DataFrame:
+        tagged = graph.edges.join(self.tags.select(F.col("id").alias("dst"), "tag"), "dst", "left")
+        return materialise(tagged.repartition("src"), "tagged-edges")
+
+    def message(self) -> list[Column]:
+        hit = F.coalesce(F.col("tag") == F.col("src_goal"), F.lit(False))
+        return [F.struct((F.col("src_dist") + F.col("weight")).alias("dist"), (F.col("weight") == 0).cast("int").alias("zero"), F.col("src_id").alias("pre"), F.col("src_goal").alias("goal"), hit.alias("hit")).alias("best")]
+
+    def aggregate(self) -> list[Column]:
+        return [F.min(F.when(F.col("hit"), F.col("dist"))).alias("reached")]
+
+
+def nearest_tagged(graph: Graph, queries: DataFrame, tags: DataFrame, local_edges: int = local.MOST_EDGES) -> DataFrame:
     """(query_id, vertex, dist) of the vertex with the query's tag nearest to its source, ties to the smallest id.
 
-    queries(query_id, source, tag), tags(id, tag). A tagged source counts. A query whose
-    tag can't be reached has no row.
+    queries(query_id, source, tag), tags(id, tag) with one tag a vertex. A tagged source
+    counts. A query whose tag can't be reached has no row.
     """
-    done = shortest_paths(graph, queries.select("query_id", "source", F.lit(None).cast("long").alias("target")), prune=False)
-    hits = done.state.join(F.broadcast(queries.select("query_id", "tag")), "query_id").join(tags.select("id", "tag"), ["id", "tag"])
+    graph.check_weights()
+    if local_edges and local.fits(graph, local_edges):
+        done = shortest_paths(graph, queries.select("query_id", "source", F.lit(None).cast("long").alias("target")), False, local_edges)
+        hits = done.state.join(F.broadcast(queries.select("query_id", "tag")), "query_id").join(tags.select("id", "tag"), ["id", "tag"])
+    else:
+        hits = run(NearestTag(tags), graph, queries).state.where("hit")
     best = hits.groupBy("query_id").agg(F.min(F.struct("dist", "id")).alias("b"))
     return best.select("query_id", F.col("b.id").alias("vertex"), F.col("b.dist").alias("dist"))
 

@@ -28,6 +28,7 @@ class VertexProgram:
     apply():     new value columns from the old ones and the inbox, in_* (null: no message)
     active():    whether the vertex sends in the next step
     bound():     filter on the senders, from the aggregator's columns (agg_*), or None
+    hold():      rows that stay active but don't send in this step, or None
     aggregate(): aggregates over a query's state, available to the next step as agg_*
     """
 
@@ -52,6 +53,9 @@ class VertexProgram:
     def bound(self) -> Column | None:
         return None
 
+    def hold(self, step: int) -> Column | None:
+        return None
+
     def aggregate(self) -> list[Column]:
         return []
 
@@ -95,7 +99,8 @@ def run(program: VertexProgram, graph: Graph, queries: DataFrame, max_steps: int
         if not any(r["active"] for r in seen):
             break
         began = time.time()
-        senders = state.where("active")
+        hold = program.hold(step)
+        senders = state.where("active") if hold is None else state.where(F.col("active") & ~hold)
         bound = program.bound()
         if bound is not None:
             names = [c for c in counts.columns if c not in ("query_id", "active", "new", "touched")]
@@ -107,7 +112,10 @@ def run(program: VertexProgram, graph: Graph, queries: DataFrame, max_steps: int
         inbox = inbox.groupBy("query_id", "id").agg(*program.combine())
         inbox = inbox.select("query_id", "id", *[F.col(c).alias(f"in_{c}") for c in inbox.columns if c not in ("query_id", "id")], F.lit(True).alias("in_any"))
         both = state.withColumnRenamed("active", "was_active").join(inbox, ["query_id", "id"], "full_outer")
-        applied = both.select("query_id", "id", *program.apply(), F.coalesce(program.active(), F.lit(False)).alias("active"), "first_step", "last_step")
+        active = F.coalesce(program.active(), F.lit(False))
+        if hold is not None:
+            active = active | F.coalesce(F.col("was_active") & hold, F.lit(False))
+        applied = both.select("query_id", "id", *program.apply(), active.alias("active"), "first_step", "last_step")
         state = applied.select(
             "query_id", "id", *program.values, "active", F.coalesce("first_step", F.lit(step + 1)).alias("first_step"),
             F.when(F.col("active"), F.lit(step + 1)).otherwise(F.coalesce("last_step", F.lit(step + 1))).alias("last_step"),

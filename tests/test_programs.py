@@ -79,8 +79,18 @@ def test_nearest_tag_ties_and_source(spark):
     g = graph(spark, [(1, 2, 1.0), (2, 3, 1.0), (1, 4, 2.0), (3, 5, 1.0)], range(1, 7))
     tags = spark.createDataFrame([(3, 7), (4, 7), (1, 8), (6, 9)], "id long, tag long")
     q = spark.createDataFrame([(0, 1, 7), (1, 1, 8), (2, 1, 9)], "query_id int, source long, tag long")
-    found = {r["query_id"]: (r["vertex"], r["dist"]) for r in programs.nearest_tagged(g, q, tags).collect()}
-    assert found == {0: (3, 2.0), 1: (1, 0.0)}
+    for local_edges in (0, 100):
+        found = {r["query_id"]: (r["vertex"], r["dist"]) for r in programs.nearest_tagged(g, q, tags, local_edges).collect()}
+        assert found == {0: (3, 2.0), 1: (1, 0.0)}
+
+
+def test_throttling_changes_no_result(spark):
+    rng = random.Random(8)
+    g = graph(spark, [(rng.randrange(12), rng.randrange(12), float(rng.randrange(1, 9))) for _ in range(40)], range(12))
+    q = spark.createDataFrame([(0, 0, 7)], "query_id int, source long, target long")
+    plain = programs.shortest_paths(g, q, False, 0).state.select("id", "dist", "pre")
+    slow = programs.shortest_paths(g, q, False, 0, step_factor=2.0).state.select("id", "dist", "pre")
+    assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in slow.collect()}
 
 
 def test_pagerank_keeps_dangling_loss_and_zero_in_degree(spark):

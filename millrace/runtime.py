@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own where it is unset (tests on one machine)."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="millrace-"))
+        place = _OWN[0]
     return place.rstrip("/")
 
 

@@ -1 +1 @@
-"""Concurrent graph queries on PySpark: graphs, queries and their states are DataFrames."""
+"""Many graph queries at once on PySpark: graphs, queries and their states are DataFrames."""

@@ -29,10 +29,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     place = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
     df.write.parquet(place)
-    _WRITTEN.append(place)
+    remember(place)
     return spark.read.schema(df.schema).parquet(place)
 
 
+def remember(place: str) -> str:
+    """Has release() delete the folder too."""
+    _WRITTEN.append(place)
+    return place
+
+
 def release(spark: SparkSession) -> int:
     """Deletes what materialise() has written in this process; only after the results that rest on it were written or collected."""
     hadoop, jvm, n = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm, 0

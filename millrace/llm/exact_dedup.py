@@ -26,6 +26,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.runtime import remember
+
 from . import common
 
 
@@ -43,7 +45,7 @@ class MergeIndex:
 
     def __init__(self, spark: SparkSession, fan_in: int = 8, files: int | None = None):
         self.spark, self.fan_in, self.files = spark, fan_in, files
-        self.root = f"{common.shared_dir(spark)}/millrace/merge-index-{uuid.uuid4().hex}"
+        self.root = remember(f"{common.shared_dir(spark)}/millrace/merge-index-{uuid.uuid4().hex}")
         self.runs: list[str] = []
 
     def _flush(self, entries: DataFrame, name: str) -> str:

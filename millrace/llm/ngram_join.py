@@ -246,9 +246,11 @@ def _index(feats: DataFrame, num: int, den: int) -> DataFrame:
     """(node, n, token) of order 1's prefixes, without tokens that one class alone holds."""
     one = feats.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("pooled").alias("pooled"), F.first("tokens").alias("tokens"))
     rows = one.select("node", "n", "pooled", F.posexplode("tokens").alias("pos", "token"))
-    pool = rows.where("pos < pooled").select("node", "n", "pooled", "token")
+    # What is shuffled for every token is two numbers; a class's own numbers join the few tokens that are left.
+    pool = rows.where("pos < pooled").select("node", "token")
     shared = pool.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    met = pool.join(shared, "token").groupBy("node", "n", "pooled").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("met"))
+    met = pool.join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("met"))
+    met = met.join(feats.groupBy("node").agg(F.first("n").alias("n"), F.first("pooled").alias("pooled")), "node")
     length = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
     # Tokens of the pool that nobody shares come first in the order; only what is left of the prefix needs rows.
     left = length - (F.col("pooled") - F.size("met"))
@@ -295,7 +297,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block
 
     Two documents link when den * shared >= num * union of their n-word shingle sets.
     """
-    pool = min(1.0, 2 * (1 - num / den)) if pool is None else pool
+    pool = min(1.0, 1.5 * (1 - num / den)) if pool is None else pool
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     feats = common.materialise(_scan(docs, n, num, den, pool), "shingles")
 

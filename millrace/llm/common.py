@@ -72,6 +72,10 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Rows that a Python worker turns into objects at a time.
+_AT_ONCE = 500
+
+
 def map_texts(df: DataFrame, keep: list[str], schema: str, start: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
     """The columns `keep` of df, and those of `schema` computed from the column text.
 
@@ -85,7 +89,7 @@ def map_texts(df: DataFrame, keep: list[str], schema: str, start: Callable[[], C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = start()
-        for batch in batches:
+        for batch in (b.slice(lo, _AT_ONCE) for b in batches for lo in range(0, b.num_rows, _AT_ONCE)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             made = [x if isinstance(x, pa.Array) else pa.array(x, types.field(i).type) for i, x in enumerate(compute(texts))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, [*keep, *types.names])

@@ -41,7 +41,7 @@ _MODELS: dict[str, PieceModel] = {}
 class PieceModel:
     """Pieces of a SentencePiece BPE model, with encode and decode of our own."""
 
-    MOST_WORDS = 200_000
+    MOST_WORDS = 60_000
 
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -236,7 +236,7 @@ def _chunks(texts: list[str], most: int) -> Iterator[list[str]]:
 def encoded(texts: list[str], model: PieceModel) -> tuple[list[int], list[str], list[str]]:
     """Number of ids, the ids as text (comma-joined) and the text decoded from them, of each text."""
     n, ids, back = [], [], []
-    for part in _chunks(texts, 2_000_000):
+    for part in _chunks(texts, 1_000_000):
         split = [model.split(t) for t in part]
         model.learn(set().union(*split))
         get = model.words.__getitem__
@@ -256,6 +256,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep: list[str], digests:
 
     def start():
         model = load(model_path, held.value)
+        model.words.clear()  # a worker lives on after its task
 
         def run(texts: list[str]) -> list[list]:
             n, ids, back = encoded(texts, model)

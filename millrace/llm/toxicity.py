@@ -60,7 +60,9 @@ def _places(text: str) -> np.ndarray:
 
 def _features(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in pdfs:
-        yield pd.DataFrame({"rank": pdf["rank"], "label": pdf["label"], "x": [_places(text) for text in pdf["text"]]})
+        for lo in range(0, len(pdf), 500):
+            part = pdf.iloc[lo : lo + 500]
+            yield pd.DataFrame({"rank": part["rank"], "label": part["label"], "x": [_places(text) for text in part["text"]]})
 
 
 def logits(model: dict, x: np.ndarray) -> np.ndarray:
@@ -76,8 +78,8 @@ def fit(rows: pd.DataFrame, terms: int = TERMS, rank: int = RANK, least_z: float
     b = np.array([np.log(prior / (1 - prior))], np.float32)
     if not pos or not neg:
         return {"place": np.zeros(0, np.int64), "w": np.zeros(0, np.float32), "v": np.zeros((0, rank), np.float32), "b": b}
-    flat = np.concatenate([np.asarray(x, np.int64) for x in rows["x"]])
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x in rows["x"]])
+    flat = np.concatenate([np.asarray(x, np.int32) for x in rows["x"]])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows["x"]])
     with_pos = np.bincount(flat, weights=y[doc], minlength=PLACES)
     everywhere = np.bincount(flat, minlength=PLACES)
     share = everywhere / len(y)
@@ -105,7 +107,7 @@ def fit(rows: pd.DataFrame, terms: int = TERMS, rank: int = RANK, least_z: float
 
 
 class Scorer:
-    MOST_WORDS = 500_000
+    MOST_WORDS = 100_000
 
     def __init__(self, model: dict):
         self.model = model

@@ -411,11 +411,23 @@ def recent_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- statistics -----------------------------------------------------------------------------
 
 
+_HASH = "CAST((((o_custkey * 1000003 + 31) * 31 + o_orderkey + 2147483648) % 4294967296) - 2147483648 AS INTEGER)"
+
+
+def _hash_groups(orders: DataFrame) -> DataFrame:
+    return stats.query_groups(orders.select(F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") * 1000003).alias("source"), F.col("o_orderkey").alias("target")))
+
+
 @query("""WITH h AS (SELECT o_orderkey AS query_id, CAST((((o_custkey * 1000003 + 31) * 31 + o_orderkey + 2147483648) % 4294967296) - 2147483648 AS INTEGER) AS query_hash FROM orders WHERE o_custkey <= 50)
 SELECT query_hash, string_agg(CAST(query_id AS VARCHAR), ',' ORDER BY query_id) AS query_ids FROM h GROUP BY 1""")
 def query_hash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_custkey <= 50")
-    return stats.query_groups(orders.select(F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") * 1000003).alias("source"), F.col("o_orderkey").alias("target")))
+    """Only the orders of the first 50 customers, as its SQL has it; query_hash_groups_all takes every order."""
+    return _hash_groups(table(spark, sf_dir, "orders").where("o_custkey <= 50"))
+
+
+@query(f"WITH h AS (SELECT o_orderkey AS query_id, {_HASH} AS query_hash FROM orders) SELECT query_hash, string_agg(CAST(query_id AS VARCHAR), ',' ORDER BY query_id) AS query_ids FROM h GROUP BY 1")
+def query_hash_groups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hash_groups(table(spark, sf_dir, "orders"))
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:

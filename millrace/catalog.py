@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,12 +25,19 @@ ROUNDS = 24  # nations less one
 
 
 def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL if it has one."""
+    """Registers a query under its function's name, with its SQL if it has one.
+
+    A query that takes `whole` is registered as NAME_all too, over every line, with that SQL.
+    """
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql
+        if "whole" in signature(f).parameters:
+            QUERIES[f"{f.__name__}_all"] = partial(f, whole=True)
+            if sql:
+                ORACLE_SQL[f"{f.__name__}_all"] = tables.every_line(sql)
         return f
 
     return add
@@ -73,43 +82,43 @@ path AS (SELECT w.query_id, w.step, w.vertex, d.dist FROM walk w JOIN d ON d.que
 
 
 @query(_distances_sql(tables.NATION_SPARSE_SQL, PAIRS) + " SELECT query_id, v AS id, dist FROM d")
-def sssp_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = tables.nation_trade(spark, sf_dir).materialised()
+def sssp_distances(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    graph = tables.nation_trade(spark, sf_dir, whole=whole).materialised()
     return programs.shortest_paths(graph, _queries(spark, PAIRS), prune=False).state.select("query_id", "id", "dist")
 
 
 @query(_distances_sql(tables.NATION_SPARSE_SQL, PAIRS) + " SELECT q.query_id, q.src AS source, q.dst AS target, d.dist FROM q LEFT JOIN d ON d.query_id = q.query_id AND d.v = q.dst")
-def sp_target_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workload.answer(tables.nation_trade(spark, sf_dir).materialised(), _queries(spark, PAIRS))[1]
+def sp_target_distance(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return workload.answer(tables.nation_trade(spark, sf_dir, whole=whole).materialised(), _queries(spark, PAIRS))[1]
 
 
 @query(_paths_sql(tables.NATION_SPARSE_SQL, PAIRS) + " SELECT query_id, step, vertex, dist FROM path")
-def sp_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workload.answer(tables.nation_trade(spark, sf_dir).materialised(), _queries(spark, PAIRS))[0]
+def sp_path(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return workload.answer(tables.nation_trade(spark, sf_dir, whole=whole).materialised(), _queries(spark, PAIRS))[0]
 
 
 @query(_paths_sql(tables.NATION_SPARSE_SQL, PAIRS) + """ SELECT query_id, step, CASE WHEN dist = 0 THEN CAST(vertex AS VARCHAR) ELSE vertex || chr(9) || CAST(dist AS VARCHAR) END AS line
 FROM (SELECT query_id, step, vertex, CAST(dist AS BIGINT) AS dist FROM path)""")
-def sp_path_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walked = workload.answer(tables.nation_trade(spark, sf_dir).materialised(), _queries(spark, PAIRS))[0]
+def sp_path_lines(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    walked = workload.answer(tables.nation_trade(spark, sf_dir, whole=whole).materialised(), _queries(spark, PAIRS))[0]
     return sinks.path_lines(walked.withColumn("dist", F.col("dist").cast("long")))
 
 
 @query(_paths_sql(tables.NATION_SQL, BATCH) + " SELECT query_id, step, vertex, dist FROM path")
-def sp_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sp_batch(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """A full batch of concurrent queries over the whole trade graph."""
-    return workload.answer(tables.nation_trade(spark, sf_dir, sparse=False).materialised(), _queries(spark, BATCH))[0]
+    return workload.answer(tables.nation_trade(spark, sf_dir, whole=whole, sparse=False).materialised(), _queries(spark, BATCH))[0]
 
 
 PLAN = ["start\t0\t7\tfirst", "start\t3\t11", "wait\t10", "waitall", "start\t20\t5", "note", "start\t1\t1"]
 
 
 @query(_paths_sql(tables.NATION_SPARSE_SQL, PAIRS) + " SELECT query_id, step, vertex, dist FROM path")
-def workload_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def workload_paths(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """A workload plan in batches of at most two."""
     rows = readers.batches(readers.parse_workload(PLAN), 2)
     plan = spark.createDataFrame(rows, "query_id int, batch int, source long, target long")
-    return workload.run_workload(tables.nation_trade(spark, sf_dir), plan)[0]
+    return workload.run_workload(tables.nation_trade(spark, sf_dir, whole=whole), plan)[0]
 
 
 @query("SELECT * FROM (VALUES (0, 0, 0, 7), (1, 0, 3, 11), (2, 1, 20, 5), (3, 1, 1, 1)) t(query_id, batch, source, target)")
@@ -119,8 +128,8 @@ def workload_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_distances_sql(tables.NATION_SPARSE_SQL, TAGGED) + """ SELECT query_id, v AS vertex, dist FROM (
   SELECT d.*, row_number() OVER (PARTITION BY d.query_id ORDER BY d.dist, d.v) AS k FROM d JOIN q USING (query_id) JOIN nation ON n_nationkey = d.v WHERE n_regionkey = q.dst) WHERE k = 1""")
-def nearest_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = tables.nation_trade(spark, sf_dir).materialised()
+def nearest_tag(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    graph = tables.nation_trade(spark, sf_dir, whole=whole).materialised()
     return programs.nearest_tagged(graph, _queries(spark, TAGGED, "tag"), graph.vertices.select("id", "tag"))
 
 
@@ -133,35 +142,35 @@ b(query_id, v, hops) AS (
 h AS (SELECT query_id, v AS id, min(hops) AS hops FROM b GROUP BY 1, 2)"""
 
 
-def _hops(spark: SparkSession, sf_dir: str):
-    return programs.frontier_hops(tables.nation_trade(spark, sf_dir).known().materialised(), _queries(spark, PAIRS))
+def _hops(spark: SparkSession, sf_dir: str, whole: bool = False):
+    return programs.frontier_hops(tables.nation_trade(spark, sf_dir, whole=whole).known().materialised(), _queries(spark, PAIRS))
 
 
 @query(_HOPS + " SELECT query_id, id, hops FROM h")
-def frontier_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hops(spark, sf_dir).state.select("query_id", "id", "hops")
+def frontier_hops(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return _hops(spark, sf_dir, whole=whole).state.select("query_id", "id", "hops")
 
 
 @query(_HOPS + " SELECT query_id, 31 * (31 + src) + dst AS query_hash, max(hops) + 1 AS supersteps, count(*) AS vertices, count(*) AS work FROM h JOIN q USING (query_id) GROUP BY 1, 2")
-def query_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.query_summary(_hops(spark, sf_dir).supersteps(), _queries(spark, PAIRS))
+def query_summary(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return stats.query_summary(_hops(spark, sf_dir, whole=whole).supersteps(), _queries(spark, PAIRS))
 
 
 @query(_HOPS + " SELECT hops AS superstep, query_id, count(*) AS active, sum(count(*)) OVER (PARTITION BY query_id ORDER BY hops)::BIGINT AS touched FROM h GROUP BY 1, 2")
-def superstep_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hops(spark, sf_dir).supersteps().select("superstep", "query_id", "active", "touched")
+def superstep_metrics(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return _hops(spark, sf_dir, whole=whole).supersteps().select("superstep", "query_id", "active", "touched")
 
 
 @query(_HOPS + ", last AS (SELECT max(hops) AS m FROM h) SELECT DISTINCT id FROM h, last WHERE hops >= m - 1")
-def recently_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = _hops(spark, sf_dir).state
+def recently_active(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    state = _hops(spark, sf_dir, whole=whole).state
     now = state.agg(F.max("last_step")).first()[0]
     return querycut.recently_active(state, now, 1)
 
 
 @query(_HOPS + ", s AS (SELECT query_id, hops, min(id % 4) AS lo, max(id % 4) AS hi FROM h GROUP BY 1, 2) SELECT query_id, count(*) AS supersteps, count(*) FILTER (lo = hi) AS local FROM s GROUP BY 1")
-def local_supersteps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = _hops(spark, sf_dir)
+def local_supersteps(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    done = _hops(spark, sf_dir, whole=whole)
     return stats.local_supersteps(done.touched(), done.state.select("id").distinct().select("id", (F.col("id") % 4).alias("part")))
 
 
@@ -190,18 +199,18 @@ w AS (SELECT id, min(label) AS component FROM c GROUP BY id)"""
 
 
 @query(_WCC + " SELECT id, component FROM w")
-def wcc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return programs.components(tables.cust_supp(spark, sf_dir, sparse=True))
+def wcc(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return programs.components(tables.cust_supp(spark, sf_dir, whole=whole, sparse=True))
 
 
 @query(_WCC + " SELECT component, count(*) AS n FROM w GROUP BY 1")
-def wcc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return programs.component_sizes(tables.cust_supp(spark, sf_dir, sparse=True))
+def wcc_sizes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return programs.component_sizes(tables.cust_supp(spark, sf_dir, whole=whole, sparse=True))
 
 
 @query(_WCC + " SELECT component || chr(9) || count(*) AS line FROM w GROUP BY component")
-def wcc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.component_lines(programs.component_sizes(tables.cust_supp(spark, sf_dir, sparse=True)))
+def wcc_lines(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return sinks.component_lines(programs.component_sizes(tables.cust_supp(spark, sf_dir, whole=whole, sparse=True)))
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT src, dst FROM ({tables.USER_FLOW_SQL})),
@@ -215,13 +224,13 @@ def directed_min_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH e AS ({tables.SUPP_PART_SQL}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e) SELECT id, count(src) AS degree FROM v LEFT JOIN e ON src = id GROUP BY id")
-def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.supp_part(spark, sf_dir).out_degree()
+def out_degree(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return tables.supp_part(spark, sf_dir, whole=whole).out_degree()
 
 
 @query(f"WITH e AS ({tables.SUPP_PART_SQL}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e) SELECT id, count(src) AS degree FROM v LEFT JOIN e ON dst = id GROUP BY id")
-def in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.supp_part(spark, sf_dir).in_degree()
+def in_degree(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return tables.supp_part(spark, sf_dir, whole=whole).in_degree()
 
 
 _LINES = f"""WITH e AS ({tables.NATION_SPARSE_SQL}),
@@ -230,20 +239,20 @@ SELECT CAST(n_nationkey AS BIGINT) AS id, n_nationkey || coalesce('|' || t, '')
 
 
 @query(_LINES)
-def adjacency_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.adjacency_lines(tables.nation_trade(spark, sf_dir))
+def adjacency_text(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return readers.adjacency_lines(tables.nation_trade(spark, sf_dir, whole=whole))
 
 
 @query(f"SELECT src, dst, w AS weight FROM ({tables.NATION_SPARSE_SQL})")
-def adjacency_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def adjacency_round_trip(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Edges after writing the text format and reading it again."""
-    lines = readers.adjacency_lines(tables.nation_trade(spark, sf_dir))
+    lines = readers.adjacency_lines(tables.nation_trade(spark, sf_dir, whole=whole))
     return readers.parse_adjacency(materialise(lines.select(F.col("line").alias("value")), "lines")).edges
 
 
 @query(_distances_sql(tables.NATION_SPARSE_SQL, PAIRS) + " SELECT query_id, v || chr(9) || CAST(dist AS BIGINT) AS line FROM d")
-def vertex_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = programs.shortest_paths(tables.nation_trade(spark, sf_dir).materialised(), _queries(spark, PAIRS), prune=False).state
+def vertex_text(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    state = programs.shortest_paths(tables.nation_trade(spark, sf_dir, whole=whole).materialised(), _queries(spark, PAIRS), prune=False).state
     return sinks.vertex_lines(state.withColumn("value", F.col("dist").cast("long")))
 
 
@@ -254,26 +263,26 @@ _VERTICES = f"e AS ({tables.SUPP_PART_SQL}), v AS (SELECT src AS id FROM e UNION
 
 
 @query(f"WITH {_VERTICES} SELECT id, CAST((id * 31 + count(src)) % 8 AS INTEGER) AS part FROM v LEFT JOIN e ON src = id GROUP BY id")
-def part_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partitioners.hashed(tables.supp_part(spark, sf_dir), 8)
+def part_hashed(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return partitioners.hashed(tables.supp_part(spark, sf_dir, whole=whole), 8)
 
 
 @query(f"WITH {_VERTICES}, r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS row, count(*) OVER () AS n FROM v) SELECT id, CAST(row // CAST(ceil(n / 8) AS BIGINT) AS INTEGER) AS part FROM r")
-def part_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partitioners.ranges(tables.supp_part(spark, sf_dir), 8)
+def part_range(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return partitioners.ranges(tables.supp_part(spark, sf_dir, whole=whole), 8)
 
 
 _BLOCKS = f"WITH {_VERTICES}, r AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 50 AS block, CAST(ceil(count(*) OVER () / 50) AS BIGINT) AS n FROM v)"
 
 
 @query(_BLOCKS + " SELECT id, CAST(least(block // (n // 4), 3) AS INTEGER) AS part FROM r")
-def part_block_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partitioners.block_continuous(tables.supp_part(spark, sf_dir), 4, 50)
+def part_block_continuous(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return partitioners.block_continuous(tables.supp_part(spark, sf_dir, whole=whole), 4, 50)
 
 
 @query(_BLOCKS + " SELECT id, CAST(block % 4 AS INTEGER) AS part FROM r")
-def part_block_roundrobin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partitioners.block_roundrobin(tables.supp_part(spark, sf_dir), 4, 50)
+def part_block_roundrobin(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return partitioners.block_roundrobin(tables.supp_part(spark, sf_dir, whole=whole), 4, 50)
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +318,7 @@ def part_hotspot_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def part_ldg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partitioners.ldg(tables.cust_supp(spark, sf_dir).symmetric(), 4)
+    return partitioners.ldg(tables.cust_supp(spark, sf_dir, whole=True).symmetric(), 4)
 
 
 # -- query cut ------------------------------------------------------------------------------
@@ -318,9 +327,9 @@ def part_ldg(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOUCHED = "SELECT DISTINCT s_nationkey % 6 AS query_id, o_custkey AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 48"
 
 
-def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _touched(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Scopes of six queries: the customers who bought large lines from a group of nations."""
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 48").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = tables.lineitem(spark, sf_dir, "l_quantity >= 48", whole).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.select((F.col("s_nationkey") % 6).alias("query_id"), F.col("o_custkey").alias("id")).distinct()
 
 
@@ -334,32 +343,32 @@ _PARTS = "(SELECT c_custkey AS id, CAST(c_custkey * c_custkey % 7 % 4 AS INTEGER
 
 
 @query(_CHUNKS + " SELECT array_to_string(queries, ',') AS queries, n FROM k WHERE n >= 2")
-def intersect_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return querycut.intersect_chunks(_touched(spark, sf_dir), min_size=2).select(F.array_join(F.transform("queries", lambda x: x.cast("string")), ",").alias("queries"), "n")
+def intersect_chunks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return querycut.intersect_chunks(_touched(spark, sf_dir, whole=whole), min_size=2).select(F.array_join(F.transform("queries", lambda x: x.cast("string")), ",").alias("queries"), "n")
 
 
 @query(_CHUNKS + " SELECT array_to_string(queries, ',') AS queries, n FROM k ORDER BY n DESC, k.queries LIMIT 10")
-def top_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = querycut.top_chunks(querycut.intersect_chunks(_touched(spark, sf_dir)), 10)
+def top_chunks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    rows = querycut.top_chunks(querycut.intersect_chunks(_touched(spark, sf_dir, whole=whole)), 10)
     return rows.select(F.array_join(F.transform("queries", lambda x: x.cast("string")), ",").alias("queries"), "n")
 
 
 @query(f"WITH t AS ({_TOUCHED}) SELECT a.query_id AS q1, b.query_id AS q2, count(*) AS n FROM t a JOIN t b ON a.id = b.id AND a.query_id < b.query_id GROUP BY 1, 2")
-def query_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return querycut.query_overlap(querycut.intersect_chunks(_touched(spark, sf_dir)))
+def query_overlap(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return querycut.query_overlap(querycut.intersect_chunks(_touched(spark, sf_dir, whole=whole)))
 
 
 _PER_PART = f"WITH t AS ({_TOUCHED}), p AS (SELECT query_id, part, count(*) AS n FROM t JOIN {_PARTS} USING (id) GROUP BY 1, 2)"
 
 
 @query(_PER_PART + " SELECT query_id, CAST(sum(n) - max(n) AS BIGINT) AS separated FROM p GROUP BY 1")
-def cut_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return querycut.cut_cost(_touched(spark, sf_dir), _parts(spark, sf_dir))
+def cut_cost(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return querycut.cut_cost(_touched(spark, sf_dir, whole=whole), _parts(spark, sf_dir))
 
 
 @query(_PER_PART + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, part) AS k, sum(n) OVER (PARTITION BY query_id) AS total FROM p) SELECT query_id, part AS largest_part, round(n / total, 9) AS locality FROM r WHERE k = 1")
-def query_locality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return querycut.query_locality(_touched(spark, sf_dir), _parts(spark, sf_dir)).withColumn("locality", F.round("locality", 9))
+def query_locality(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return querycut.query_locality(_touched(spark, sf_dir, whole=whole), _parts(spark, sf_dir)).withColumn("locality", F.round("locality", 9))
 
 
 @query(f"WITH c AS (SELECT part, count(*) AS n FROM {_PARTS} GROUP BY 1), w AS (SELECT CAST(range AS INTEGER) AS part, coalesce(n, 0) AS n FROM range(4) LEFT JOIN c ON part = range), a AS (SELECT sum(n) // 4 AS avg FROM w) SELECT part, n, round(abs(n - avg) / avg, 9) AS factor FROM w, a")
@@ -368,12 +377,12 @@ def imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH t AS ({_TOUCHED}) SELECT id, CASE WHEN part = 1 AND id IN (SELECT id FROM t WHERE query_id IN (0, 1)) AND id NOT IN (SELECT id FROM t WHERE query_id NOT IN (0, 1, 2)) THEN 3 ELSE part END AS part FROM {_PARTS}""")
-def migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return querycut.migrate(_touched(spark, sf_dir), _parts(spark, sf_dir), [0, 1], [2], 1, 3)
+def migrate(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return querycut.migrate(_touched(spark, sf_dir, whole=whole), _parts(spark, sf_dir), [0, 1], [2], 1, 3)
 
 
-def _clusters(spark: SparkSession, sf_dir: str) -> list[list[int]]:
-    touched = materialise(_touched(spark, sf_dir), "touched")
+def _clusters(spark: SparkSession, sf_dir: str, whole: bool = False) -> list[list[int]]:
+    touched = materialise(_touched(spark, sf_dir, whole=whole), "touched")
     sizes = {r[0]: r[1] for r in touched.groupBy("query_id").count().collect()}  # one row a query
     overlap = {(r[0], r[1]): r[2] for r in querycut.query_overlap(querycut.intersect_chunks(touched)).collect()}
     return querycut.cluster_queries(sizes, overlap, 3)
@@ -381,14 +390,14 @@ def _clusters(spark: SparkSession, sf_dir: str) -> list[list[int]]:
 
 @query()
 def query_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(i, q) for i, members in enumerate(_clusters(spark, sf_dir)) for q in members], "cluster int, query_id int")
+    return spark.createDataFrame([(i, q) for i, members in enumerate(_clusters(spark, sf_dir, whole=True)) for q in members], "cluster int, query_id int")
 
 
 @query()
 def ils_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Iterated local search over three query clusters on four parts."""
-    of = {q: i for i, members in enumerate(_clusters(spark, sf_dir)) for q in members}
-    touched, parts = _touched(spark, sf_dir), _parts(spark, sf_dir)
+    of = {q: i for i, members in enumerate(_clusters(spark, sf_dir, whole=True)) for q in members}
+    touched, parts = _touched(spark, sf_dir, whole=True), _parts(spark, sf_dir)
     cluster = F.create_map(*[F.lit(x) for kv in of.items() for x in kv])[F.col("query_id")]
     rows = touched.select(cluster.alias("query_id"), "id").distinct()
     n = {c: [0] * 4 for c in set(of.values())}
@@ -483,12 +492,12 @@ def query_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def vertex_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.vertex_sample(tables.supp_part(spark, sf_dir).vertices, 10)
+    return sinks.vertex_sample(tables.supp_part(spark, sf_dir, whole=True).vertices, 10)
 
 
 @query()
 def tag_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.assign_tags(tables.supp_part(spark, sf_dir).vertices, 0.1, 5)
+    return readers.assign_tags(tables.supp_part(spark, sf_dir, whole=True).vertices, 0.1, 5)
 
 
 __all__ = ["Graph", "ORACLE_SQL", "QUERIES"]

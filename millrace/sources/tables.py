@@ -1,7 +1,12 @@
-"""Named graphs over the driver's tables; weights are whole cents."""
+"""Named graphs over the driver's tables; weights are whole cents.
+
+Each graph takes the lines that its SQL below keeps, or with `whole` every line; in every_line() that SQL has no filter.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +14,15 @@ from millrace.graph import Graph
 from millrace.runtime import table
 
 
-def nation_trade(spark: SparkSession, sf_dir: str, sparse: bool = True) -> Graph:
+def lineitem(spark: SparkSession, sf_dir: str, subset: str, whole: bool) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return lines if whole else lines.where(subset)
+
+
+def nation_trade(spark: SparkSession, sf_dir: str, sparse: bool = True, whole: bool = False) -> Graph:
     """Customer's nation to supplier's nation, weighing the cheapest line between them; every nation is a vertex."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 50")
-    if sparse:
+    lines = lineitem(spark, sf_dir, "l_quantity >= 50", whole)
+    if sparse and not whole:
         lines = lines.where("l_returnflag = 'R' and l_discount >= 0.08")
     rows = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -21,19 +31,19 @@ def nation_trade(spark: SparkSession, sf_dir: str, sparse: bool = True) -> Graph
     return Graph.of(nations, edges)
 
 
-def cust_supp(spark: SparkSession, sf_dir: str, sparse: bool = False) -> Graph:
-    """Customers (even ids) to suppliers (odd ids) of large lines; vertices are the ends of edges."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 50")
-    if sparse:
+def cust_supp(spark: SparkSession, sf_dir: str, sparse: bool = False, whole: bool = False) -> Graph:
+    """Customers (even ids) to suppliers (odd ids) of the lines; vertices are the ends of edges."""
+    lines = lineitem(spark, sf_dir, "l_quantity >= 50", whole)
+    if sparse and not whole:
         lines = lines.where("l_discount >= 0.1 and l_returnflag = 'R'")
     rows = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     edges = rows.select((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"), F.round(F.col("l_extendedprice") * 100).alias("weight"))
     return Graph.of(None, edges)
 
 
-def supp_part(spark: SparkSession, sf_dir: str) -> Graph:
+def supp_part(spark: SparkSession, sf_dir: str, whole: bool = False) -> Graph:
     """Suppliers (odd ids) to parts (even ids)."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
+    lines = lineitem(spark, sf_dir, "l_quantity >= 49", whole)
     return Graph.of(None, lines.select((F.col("l_suppkey") * 2 + 1).alias("src"), (F.col("l_partkey") * 2).alias("dst"), F.round(F.col("l_extendedprice") * 100).alias("weight")))
 
 
@@ -63,3 +73,8 @@ CUST_SUPP_SPARSE_SQL = CUST_SUPP_SQL + " AND l_discount >= 0.1 AND l_returnflag
 SUPP_PART_SQL = "SELECT l_suppkey * 2 + 1 AS src, l_partkey * 2 AS dst, round(l_extendedprice * 100) AS w FROM lineitem WHERE l_quantity >= 49"
 USER_FLOW_SQL = """SELECT user_id AS src, dst FROM (SELECT user_id, event_type, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events)
   WHERE event_type = 'error' AND dst IS NOT NULL"""
+
+
+def every_line(sql: str) -> str:
+    """The same SQL over all of lineitem."""
+    return re.sub(r"\s+WHERE l_quantity >= \d+( AND l_\w+ >?= [\d.'R]+)*", "", sql)

@@ -2,26 +2,26 @@
 
 Method: a document is the set of its terms, words and word beginnings of four to seven
 letters (and each of them again where two or three distinct words have it), hashed into
-2^20 places. On the labelled sample the places whose document
-frequency differs most between the two labels (a z-score of at least `least_z`, at most
-`terms` of them) become the inputs. A factorization machine gives each a weight and a
-vector of `rank` factors; the logit is the bias, the weights and the inner products of
-all pairs of terms that occur together, computed in linear time. It is trained by Adam on
-the logistic loss. Whole texts are scored.
+2^20 places. Every place seen in the labelled sample is an input. A factorization machine
+gives each a weight and a vector of `rank` factors; the logit is the bias, the weights and
+the inner products of all pairs of terms that occur together, computed in linear time. It
+is trained on the logistic loss: first by Adam on the places whose document frequency
+differs most between the two labels (a z-score of at least `least_z`, at most `terms` of
+them), then, from there, all places together by regularised sparse steps, so that terms
+which are neutral alone or rare learn from what is left. Whole texts are scored.
 
 Defined cases: null or empty texts have no terms and get the bias's score; texts without
-a known term likewise; repeated rows get equal scores; without labels, or with labels of
+a term of the sample likewise; repeated rows get equal scores; without labels, or with labels of
 one kind only, the score is the smoothed share of label 1; an empty table gives an empty
 result; labels, lang, source and doc_id are no inputs; other columns are ignored.
 
 Scale: training sees at most `sample` labelled documents (a documented bound); scoring is
-one pass without a shuffle, with a model of a few hundred KB.
+one pass without a shuffle, with a model of at most 2^20 places of 40 bytes.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +34,7 @@ from . import common, learn
 
 PLACES = 1 << 20
 SAMPLE, TERMS, RANK, LEAST_Z = 8000, 2048, 8, 4.0
+ALL_EPOCHS, ALL_STEPS, ALL_RATE, ALL_DECAY, EVEN = 2, 100, 0.1, 1e-3, 8
 THRESHOLD, PARTS, HELD = 0.3, 4, 2
 _WORD = re.compile(r"\w+")
 _BEGINNINGS = (4, 5, 6, 7)
@@ -53,9 +54,12 @@ def counted(place: int | np.ndarray, times: int) -> int | np.ndarray:
 
 
 def _places(text: str) -> np.ndarray:
-    raw = np.array([t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)], np.int64)
+    return _counted_places(np.array([t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)], np.int64)).astype(np.int32)
+
+
+def _counted_places(raw: np.ndarray) -> np.ndarray:
     raw, n = np.unique(raw, return_counts=True)
-    return np.unique(np.concatenate([counted(raw[n >= k], k) for k in _TIMES])).astype(np.int32)
+    return np.unique(np.concatenate([counted(raw[n >= k], k) for k in _TIMES]))
 
 
 def _features(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,15 +89,15 @@ def fit(rows: pd.DataFrame, terms: int = TERMS, rank: int = RANK, least_z: float
     share = everywhere / len(y)
     z = (with_pos / pos - (everywhere - with_pos) / neg) / np.sqrt(np.maximum(share * (1 - share), 0.5 / len(y)) * (1 / pos + 1 / neg))
     order = np.argsort(-np.abs(z), kind="stable")[:terms]
-    place = np.sort(order[(np.abs(z[order]) >= least_z) & (everywhere[order] >= 5)])
+    first = np.sort(order[(np.abs(z[order]) >= least_z) & (everywhere[order] >= 5)])
     column = np.full(PLACES, -1, np.int64)
-    column[place] = np.arange(len(place))
-    x = np.zeros((len(rows), len(place)), np.float32)
+    column[first] = np.arange(len(first))
+    x = np.zeros((len(rows), len(first)), np.float32)
     known = column[flat] >= 0
     x[doc[known], column[flat[known]]] = 1
 
     rng = np.random.default_rng(seed)
-    p = {"w": np.zeros(len(place), np.float32), "v": rng.normal(0, 0.01, (len(place), rank)).astype(np.float32), "b": b}
+    p = {"w": np.zeros(len(first), np.float32), "v": rng.normal(0, 0.01, (len(first), rank)).astype(np.float32), "b": b}
     adam = learn.Adam(p, 0.02, {"w": 1e-4, "v": 1e-3})
     for _ in range(epochs):
         mix = rng.permutation(len(y))
@@ -103,7 +107,46 @@ def fit(rows: pd.DataFrame, terms: int = TERMS, rank: int = RANK, least_z: float
             s = xb @ p["v"]
             d = (learn.sigmoid(logits(p, xb)) - y[at]) / len(at)
             adam.step({"b": np.array([d.sum()], np.float32), "w": xb.T @ d, "v": xb.T @ (d[:, None] * s) - (xb.T @ d)[:, None] * p["v"]})
-    return {"place": place, **p}
+    place = np.flatnonzero(everywhere)
+    at = np.searchsorted(place, first)
+    w, v = np.zeros(len(place), np.float32), rng.normal(0, 0.01, (len(place), rank)).astype(np.float32)
+    w[at], v[at] = p["w"], p["v"]
+    model = {"place": place, "w": w, "v": v, "b": p["b"]}
+    _all_places(model, [np.searchsorted(place, np.asarray(x, np.int64)) for x in rows["x"]], y, rng, batch)
+    return model
+
+
+def _all_places(model: dict, rows: list[np.ndarray], y: np.ndarray, rng: np.random.Generator, batch: int) -> None:
+    """Goes on training the model, in place, on every place of the rows.
+
+    A step touches only the places of its batch. Adagrad with a start of one: a step follows
+    the gradient's size, so places in few documents don't outrun those in many. Documents of
+    more than EVEN places count less, in proportion. Every row is seen ALL_EPOCHS times, in
+    small samples more often, for ALL_STEPS steps at least.
+    """
+    w, v, b = model["w"], model["v"], model["b"]
+    past_w, past_v = np.ones(len(w), np.float32), np.ones_like(v)
+    size = np.array([len(x) for x in rows])
+    some = np.flatnonzero(size)
+    for _ in range(max(ALL_EPOCHS, -(-ALL_STEPS * batch // max(1, len(some))))):
+        mix = rng.permutation(some)
+        for lo in range(0, len(mix), batch):
+            mine = mix[lo : lo + batch]
+            flat, n = np.concatenate([rows[r] for r in mine]), size[mine]
+            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+            near = v[flat]
+            s = np.add.reduceat(near, starts)
+            logit = b[0] + np.add.reduceat(w[flat], starts) + 0.5 * ((s * s).sum(1) - np.add.reduceat((near * near).sum(1), starts))
+            d = (learn.sigmoid(logit) - y[mine]) * np.minimum(1, EVEN / n)
+            b -= ALL_RATE * d.mean()
+            here, inverse = np.unique(flat, return_inverse=True)
+            g = np.bincount(inverse, np.repeat(d, n))
+            gv = np.stack([np.bincount(inverse, np.repeat(d * s[:, k], n)) for k in range(v.shape[1])], 1) - g[:, None] * v[here]
+            g, gv = g + ALL_DECAY * w[here], gv + ALL_DECAY * v[here]
+            past_w[here] += g * g
+            past_v[here] += gv * gv
+            w[here] -= ALL_RATE * g / np.sqrt(past_w[here])
+            v[here] -= ALL_RATE * gv / np.sqrt(past_v[here])
 
 
 class Scorer:
@@ -111,20 +154,21 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.model = model
-        self.column = {int(p): i for i, p in enumerate(model["place"])}
+        self.column = np.full(PLACES, -1, np.int32)
+        self.column[model["place"]] = np.arange(len(model["place"]))
         self.words: dict[str, tuple[int, ...]] = {}
 
-    def columns(self, text: str) -> list[int]:
-        found: Counter[int] = Counter()
+    def columns(self, text: str) -> np.ndarray:
+        raw: list[int] = []
         for w in set(_WORD.findall(text.lower())):
             mine = self.words.get(w)
             if mine is None:
                 if len(self.words) >= self.MOST_WORDS:
                     self.words.clear()
-                mine = self.words[w] = tuple(t for t in terms_of(w) if any(counted(t, k) in self.column for k in _TIMES))
-            if mine:
-                found.update(mine)
-        return sorted({self.column[c] for t, n in found.items() for k in _TIMES if n >= k and (c := counted(t, k)) in self.column})
+                mine = self.words[w] = tuple(terms_of(w))
+            raw.extend(mine)
+        at = self.column[_counted_places(np.array(raw, np.int64))]
+        return at[at >= 0]
 
     def score(self, text: str) -> float:
         at = self.columns(text)

@@ -37,11 +37,15 @@ def test_pieces_match_the_library(library, model):
     texts = ["", " ", "  ", "   a", "a ", "a  b", "a" * 3000, " " * 2000, "ab" * 1500, "<s>", "<0x41>", "▁", "▁▁a", "x\x00y", "<unk>", "😀" * 60, "\n\n", "é\u0301\u200b"]
     for _ in range(1500):
         texts.append("".join(rng.choice([rng.choice(vocabulary), rng.choice(["a", " ", "  ", "\n", "é", "漢", "▁", "\x00", "😀", "the", "seen"])]) for _ in range(rng.randint(0, 40))))
-    n, ids, back = pieces.encoded(texts, model)
-    for text, k, i, d in zip(texts, n, ids, back, strict=True):
-        want = library.encode(text)
-        assert (k, i, d) == (len(want), ",".join(map(str, want)), library.decode(want)), text[:80]
-        assert model.decode(want) == d
+    words = pieces.WordCache(model, decimal=True)
+    words.MOST = 700  # both generations and the clearing occur
+    for _ in range(2):
+        for lo in range(0, len(texts), 50):
+            part = texts[lo : lo + 50]
+            for text, (i, d) in zip(part, pieces.encoded(part, words), strict=True):
+                want = library.encode(text)
+                assert (i.decode(), d.decode()) == ("".join(f"{x}," for x in want), library.decode(want)), text[:80]
+                assert model.decode(want) == d.decode()
 
 
 def test_pieces_any_text(library, model):
@@ -64,10 +68,27 @@ def test_decode_any_ids(library, model):
         assert model.decode(ids) == library.decode(ids), ids
 
 
-def test_pieces_query(spark, odd_docs, no_docs, library):
-    got = {(r["doc_id"], r["n_tokens"], r["ids"]) for r in pieces.encode_documents(odd_docs, pieces.default_model(), ["doc_id"]).collect()}
-    assert got == {(i, len(library.encode(t)), ",".join(map(str, library.encode(t)))) for i, t in plain(odd_docs)}
-    assert pieces.encode_documents(no_docs, pieces.default_model(), ["doc_id"]).count() == 0
+def test_encode_documents(spark, odd_docs, no_docs, library):
+    want = sorted((str(i), len(library.encode(t)), library.encode(t), library.decode(library.encode(t))) for i, t in plain(odd_docs))
+    got = pieces.encode_documents(odd_docs, pieces.default_model(), ["doc_id"]).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids"], r["decoded"]) for r in got) == want
+    got = pieces.encode_documents(odd_docs, pieces.default_model(), ["doc_id"], give="round_trip").collect()
+    texts = {str(i): t for i, t in plain(odd_docs)}
+    assert sorted((str(r["doc_id"]), r["ids"], r["round_trip"]) for r in got) == sorted((i, ids, d == texts[i]) for i, _, ids, d in want)
+    for give in pieces.GIVES:
+        assert pieces.encode_documents(no_docs, pieces.default_model(), ["doc_id"], give=give).count() == 0
+
+
+def test_pieces_query_against_the_library(spark, library):
+    import hashlib
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = set()
+    for i, t in plain(spark.read.parquet(f"{SF}/documents.parquet")):
+        ids = library.encode(t)
+        want.add((i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids))))
+    got = pieces.op8_pieces(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
 # -- decontamination ------------------------------------------------------------------------

@@ -65,9 +65,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and round_trip (whether the ids decode to the text) of each document."""
-    coded = pieces.encode_documents(docs.select("doc_id", "lang", "source", "text"), pieces.default_model(), ["doc_id", "lang", "source", "text"])
-    ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", ",").cast("array<int>"))
-    return coded.select("doc_id", "lang", "source", "n_tokens", ids.alias("ids"), (F.col("decoded") == common.fold_null(F.col("text"))).alias("round_trip"))
+    return pieces.encode_documents(docs.select("doc_id", "lang", "source", "text"), pieces.default_model(), ["doc_id", "lang", "source"], give="round_trip")
 
 
 STAGES = [

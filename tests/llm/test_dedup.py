@@ -153,6 +153,38 @@ def test_near_group_of_variants(spark, block):
     assert got == near_expected(rows)
 
 
+def test_near_long_documents_and_hot_tokens(spark):
+    """Long texts with small and large differences, a passage in every document, null and repeated ids, many small shards."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(8))
+    rows = []
+    for i in range(12):
+        w = [f"g{i // 4}x{k}" for k in range(1500)]
+        for at in rng.choice(1500, 10 * (i % 4), replace=False):
+            w[at] = f"v{i}x{at}"
+        rows.append((None if i in (1, 5) else i % 7, " ".join([*w, passage])))
+    rows += [(20 + i, f"{passage} own words of the text {i}") for i in range(30)] + [(20, rows[0][1]), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    given = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs, block=3, shard_tokens=1000).collect())))
+    # The brute force numbers rows; a component's name is its least doc_id that isn't null.
+    component = {}
+    for i, n, c in near_expected(given):
+        component.setdefault(c, []).append((i, n))
+    want = []
+    for members in component.values():
+        name = min((rows[i][0] for i, _ in members if rows[i][0] is not None), default=None)
+        want += [str((rows[i][0], n, name)) for i, n in members]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_near_query_against_brute_force(spark, sf):
+    rows = plain(spark.read.parquet(f"{sf}/documents.parquet"))
+    got = Counter(tuple(r) for r in ngram_join.op5_ngram_join(spark, sf).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == near_expected(rows)
+
+
 def test_near_empty(no_docs):
     assert ngram_join.ngram_join(no_docs).count() == 0
 
@@ -160,7 +192,7 @@ def test_near_empty(no_docs):
 def test_links_within_matches_brute_force():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(40)] + [np.arange(30, dtype=np.uint64)] * 2
-    linked = ngram_join.links_within(list(range(42)), sets, [np.zeros(1, np.uint64)] * 42, [0] * 42, 70, 100)
+    linked = ngram_join.links_within(list(range(42)), sets, [0] * 42, 70, 100)
     up = list(range(42))
     for x, y in linked:
         up = [up[x] if u == up[y] else u for u in up]

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.runtime import materialise, shared_dir, table
 
-__all__ = ["ascii_lower", "bitmap_filter", "fold_null", "let", "map_texts", "materialise", "may_contain", "shared_dir", "table", "without_spaces"]
+__all__ = ["ascii_lower", "bitmap_filter", "bound_batches", "buckets_for", "fold_null", "give_back", "let", "map_texts", "materialise", "may_contain", "probed", "shared_dir", "table", "without_spaces"]
 
 # The six characters of [\x20\x09-\x0D], and the two alphabets.
 SPACES = " \t\n\x0b\x0c\r"
@@ -53,14 +55,24 @@ def bitmap_filter(keys: DataFrame, key: str, buckets: int = 512) -> DataFrame:
     )
 
 
-def may_contain(df: DataFrame, key: str, bits: DataFrame, buckets: int = 512) -> DataFrame:
-    """Rows of df whose key may be in the filter; no row whose key is in it is lost."""
+def buckets_for(keys: int) -> int:
+    """Buckets of a filter that about one place in eight of is set, 512 (2 MB) to 8,192 (32 MB)."""
+    return min(8192, max(512, 8 * keys // BITMAP_BITS))
+
+
+def probed(df: DataFrame, key: str, bits: DataFrame, buckets: int = 512) -> DataFrame:
+    """df with a column _may: whether the row's key may be in the filter; true for every key that is in it."""
     h = F.xxhash64(key)
-    keep = df.columns
     at = F.pmod(F.shiftrightunsigned(h, 24), F.lit(BITMAP_BITS)).cast("int")
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    probed = df.withColumn("_bucket", F.pmod(h, F.lit(buckets)).cast("int")).join(F.broadcast(bits), "_bucket")
-    return probed.where(F.getbit(byte, F.pmod(at, F.lit(8))) == 1).select(*[f"`{c}`" for c in keep])
+    found = df.withColumn("_bucket", F.pmod(h, F.lit(buckets)).cast("int")).join(F.broadcast(bits), "_bucket", "left")
+    may = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False))
+    return found.select(*[f"`{c}`" for c in df.columns], may.alias("_may"))
+
+
+def may_contain(df: DataFrame, key: str, bits: DataFrame, buckets: int = 512) -> DataFrame:
+    """Rows of df whose key may be in the filter; no row whose key is in it is lost."""
+    return probed(df, key, bits, buckets).where("_may").drop("_may")
 
 
 def let(value: Column, body) -> Column:
@@ -75,6 +87,27 @@ def let(value: Column, body) -> Column:
 #: Rows that a Python worker turns into objects at a time.
 _AT_ONCE = 500
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Has Spark cut Arrow batches by bytes, not only by rows, unless the session has its own bound.
+
+    Long texts make batches of 10,000 rows large, in the JVM and in the worker. The
+    setting stays in the session, as results are computed later; it changes no result.
+    """
+    if int(spark.conf.get(_BATCH_BYTES).rstrip("b")) >= 2**31 - 1:
+        spark.conf.set(_BATCH_BYTES, most)
+
+
+def give_back() -> None:
+    """Returns what a task has freed to the system: a Python worker lives on after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
 
 def map_texts(df: DataFrame, keep: list[str], schema: str, start: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
     """The columns `keep` of df, and those of `schema` computed from the column text.
@@ -89,9 +122,14 @@ def map_texts(df: DataFrame, keep: list[str], schema: str, start: Callable[[], C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = start()
-        for batch in (b.slice(lo, _AT_ONCE) for b in batches for lo in range(0, b.num_rows, _AT_ONCE)):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            made = [x if isinstance(x, pa.Array) else pa.array(x, types.field(i).type) for i, x in enumerate(compute(texts))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, [*keep, *types.names])
-
+        try:
+            for batch in (b.slice(lo, _AT_ONCE) for b in batches for lo in range(0, b.num_rows, _AT_ONCE)):
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                made = [x if isinstance(x, pa.Array) else pa.array(x, types.field(i).type) for i, x in enumerate(compute(texts))]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, [*keep, *types.names])
+        finally:
+            del compute
+            give_back()
+
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, T.StructType([df.schema[c] for c in keep] + new.fields))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; decides what may be learned from, never a score."""
@@ -37,8 +40,13 @@ def trained(features: DataFrame, fit: Callable[[pd.DataFrame], dict]) -> dict:
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(pdfs)
         rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["rank", "label", "x"])
-        rows = rows.sort_values(["rank", "label"], kind="stable", ignore_index=True)
-        yield pd.DataFrame({"model": [pickle.dumps(fit(rows))]})
+        # Rows that share an id have one rank; their features tell them apart, so that every run trains in one order.
+        rows["features"] = [hashlib.blake2b(np.ascontiguousarray(x).tobytes() if isinstance(x, np.ndarray) else bytes(x), digest_size=16).hexdigest() for x in rows["x"]]
+        rows = rows.sort_values(["rank", "label", "features"], kind="stable", ignore_index=True).drop(columns="features")
+        model = pickle.dumps(fit(rows))
+        del rows, parts
+        common.give_back()
+        yield pd.DataFrame({"model": [model]})
 
     return pickle.loads(bytes(features.repartition(1).mapInPandas(run, "model binary").first()[0]))
 

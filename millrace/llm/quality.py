@@ -38,7 +38,7 @@ WIDTH = _STATS + _SHAPES + _HASHED + 4
 
 def _shape(word: str) -> str:
     out = []
-    for c in word[:24]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)

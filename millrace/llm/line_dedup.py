@@ -17,8 +17,8 @@ table gives an empty result; other columns are ignored.
 Scale: shards hold about `per_shard` keys each and are probed by about `per_salt` lines, so
 their number follows the data and their size doesn't. Lines stream past their shard's arrays. A shard with more lines
 than most (a line that a third of all documents hold) is copied under several salts, in
-proportion to its lines, and its probes are dealt over the copies. The driver sees one
-number per shard.
+proportion to its lines, and its probes are dealt over the copies; the numbers of copies
+are joined to the lines, and nothing is collected but two counts.
 """
 
 from __future__ import annotations
@@ -145,10 +145,11 @@ def _probe(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             rows = pdf.iloc[part]
             doc = rows["doc_id"].to_numpy(np.int64)
-            found, _, keeper = shard.probe(rows["h1"].to_numpy(np.int64).view(np.uint64), rows["h2"].to_numpy(np.int64).view(np.uint64))
-            rows = rows[found & (keeper != doc)]
-            if len(rows):
-                yield pd.DataFrame({"doc_id": rows["doc_id"].astype("int64"), "text_hash": rows["text_hash"].astype("int64"), "line": rows["line"].astype("int32")})
+            found, count, keeper = shard.probe(rows["h1"].to_numpy(np.int64).view(np.uint64), rows["h2"].to_numpy(np.int64).view(np.uint64))
+            gone = found & (keeper != doc)
+            if gone.any():
+                rows = rows[gone]
+                yield pd.DataFrame({"doc_id": rows["doc_id"].astype("int64"), "text_hash": rows["text_hash"].astype("int64"), "line": rows["line"].astype("int32"), "count": count[gone]})
 
 
 def _keys(text: Column) -> Column:
@@ -157,7 +158,8 @@ def _keys(text: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, per_shard: int = 16_384, per_salt: int = 250_000) -> DataFrame:
-    """One row per row of docs: doc_id, n_lines, n_dropped, kept (the text that stays)."""
+    """One row per row of docs: doc_id, n_lines, n_dropped, kept (the text that stays), and
+    most: how many lines of the corpus have the key of the dropped line that is most frequent (0 without one)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.fold_null(F.col("text")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -172,29 +174,22 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, per_shard: int = 16_
     index = keys.select(shard, "h1", "h2", "n", "keeper").groupBy("shard").applyInPandas(_pack_group, "shard int, n_lines long, packed binary")
     index = common.materialise(index, "index")
 
-    # Copies of a shard by its number of lines: one number for each shard that needs more than one.
-    salts = index.select("shard", (F.col("n_lines") / per_salt).cast("int").alias("more")).where("more > 0")
-    copies = {int(r[0]): int(r[1]) + 1 for r in salts.collect()}
-    n = _copies(copies)
-    arrays = index.select("shard", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"), "packed")
+    # Copies of a shard by its number of lines; of shards with more than one copy the lines must know the number.
+    copies = F.col("n_lines").cast("long") / per_salt
+    arrays = index.select("shard", F.explode(F.sequence(F.lit(0), copies.cast("int"))).alias("salt"), "packed")
+    salts = common.materialise(index.where(copies >= 1).select("shard", (copies.cast("int") + 1).alias("copies")), "salts")
     nothing = [F.lit(0).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text_hash", "long"), ("line", "int"), ("h1", "long"), ("h2", "long"))]
-    probes = lines.select(shard, "doc_id", "text_hash", "line", "h1", "h2")
-    probes = probes.select("shard", F.pmod(F.xxhash64("doc_id"), n).cast("int").alias("salt"), F.lit(None).cast("binary").alias("packed"), "doc_id", "text_hash", "line", "h1", "h2")
+    probes = lines.select(shard, "doc_id", "text_hash", "line", "h1", "h2").join(salts, "shard", "left")
+    probes = probes.select("shard", F.pmod(F.xxhash64("doc_id"), F.coalesce("copies", F.lit(1))).cast("int").alias("salt"), F.lit(None).cast("binary").alias("packed"), "doc_id", "text_hash", "line", "h1", "h2")
     routed = arrays.select("shard", "salt", "packed", *nothing).unionByName(probes)
     routed = routed.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("packed").isNull())
-    drop = routed.mapInPandas(_probe, "doc_id long, text_hash long, line int")
-    drop = drop.distinct().groupBy("doc_id", "text_hash").agg(F.collect_list("line").alias("drop"))
+    drop = routed.mapInPandas(_probe, "doc_id long, text_hash long, line int, count long")
+    drop = drop.distinct().groupBy("doc_id", "text_hash").agg(F.collect_list("line").alias("drop"), F.max("count").alias("most"))
 
     split = F.split("text", "\n")
-    out = docs.join(drop, ["doc_id", "text_hash"], "left").select("doc_id", "text", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
+    out = docs.join(drop, ["doc_id", "text_hash"], "left").select("doc_id", "text", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"), F.coalesce("most", F.lit(0).cast("long")).alias("most"))
     kept = F.when(F.size("drop") == 0, F.col("text")).otherwise(common.let(split, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("drop")), lambda i: F.get(x, i)), "\n")))
-    return out.select("doc_id", F.size(split).cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"), kept.alias("kept"))
-
-
-def _copies(copies: dict[int, int]) -> Column:
-    if not copies:
-        return F.lit(1)
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in copies.items() for x in kv]), F.col("shard")), F.lit(1))
+    return out.select("doc_id", F.size(split).cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"), kept.alias("kept"), "most")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

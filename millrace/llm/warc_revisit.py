@@ -7,11 +7,12 @@ equal the response's (weakly: without W/); otherwise Last-Modified must equal; a
 without a validator takes the response as it is. The resolved record has the response's
 payload and its headers, updated by those headers of the revisit that a 304 may carry.
 
-The as-of join is a union of both kinds and a running last_value in time order. For hot
-URLs it runs in two levels: time is cut into buckets, the running value inside a
-(URL, bucket) is a window over few rows, and a second window over one row per bucket
-carries the last response into the buckets that follow. Payloads take no part in either;
-they are fetched once by record id.
+The as-of join is a union of both kinds and a running last_value in time order, in two
+levels: the records are cut into ranges of (URL, time), so that a hot URL, even at one
+moment, is spread over many; the running value inside a (URL, range) is a window over at
+most a range's rows, and a second window over one row per URL and range carries the last
+response into the ranges that follow. Payloads take no part in either; they are fetched by
+record id, in equi-joins whose hot side Spark may split.
 
 Defined cases: at equal times a response comes before a revisit, and the response with the
 largest record_id is the later one; a revisit without an earlier response, or whose
@@ -50,7 +51,7 @@ def _etag(headers: Column) -> Column:
     return F.regexp_replace(_header(headers, "etag"), r"^W/", "")
 
 
-def resolve(records: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+def resolve(records: DataFrame) -> DataFrame:
     """Revisits of records(record_id, kind, url, time, status, headers, payload), resolved.
 
     kind is response or revisit, time is in seconds, headers a map with lower-case names.
@@ -60,8 +61,9 @@ def resolve(records: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
     rows = records.select("record_id", "kind", canonical(F.col("url")).alias("key"), F.col("time").cast("long").alias("time"), "status", F.coalesce("headers", empty).alias("headers"))
     rows = rows.where(((F.col("kind") == "response") & (F.col("status") == 200)) | (F.col("kind") == "revisit"))
     is_full = F.col("kind") == "response"
-    rows = rows.withColumn("bucket", F.floor(F.col("time") / bucket_seconds)).withColumn("order", F.struct("time", F.when(is_full, 0).otherwise(1).alias("late"), "record_id"))
-    timed = common.materialise(rows.where("key is not null and time is not null"), "captures")
+    rows = rows.withColumn("order", F.struct("time", F.when(is_full, 0).otherwise(1).alias("late"), "record_id"))
+    timed = rows.where("key is not null and time is not null").repartitionByRange("key", "order").withColumn("bucket", F.spark_partition_id())
+    timed = common.materialise(timed, "captures")
 
     # Level 1, inside a (key, bucket); level 2 carries the last response of each bucket onwards.
     here = Window.partitionBy("key", "bucket").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)

@@ -213,7 +213,7 @@ def test_revisits(spark):
         (12, "revisit", "http://h/a", 12, 304, {"last-modified": "d2"}, None),
     ]
     records = spark.createDataFrame(rows, "record_id long, kind string, url string, time long, status int, headers map<string,string>, payload string")
-    got = {r["record_id"]: (r["state"], r["source_id"], r["payload"]) for r in warc_revisit.resolve(records, bucket_seconds=8).collect()}
+    got = {r["record_id"]: (r["state"], r["source_id"], r["payload"]) for r in warc_revisit.resolve(records).collect()}
     assert got == {
         4: ("resolved", 1, "one"), 5: ("resolved", 2, "two"), 6: ("unresolved", None, None), 7: ("unresolved", None, None), 8: ("unresolved", None, None),
         9: ("resolved", 2, "two"), 10: ("unresolved", None, None), 11: ("resolved", 1, "one"), 12: ("unresolved", None, None),

@@ -10,7 +10,7 @@ given grams of just those lengths (at most nine, read from the items).
 
 Defined cases: null or empty texts have no words and hit nothing; benchmark items without
 words never occur; items with equal words are one class and all their ids are reported;
-null item_ids are left out; repeated rows give repeated results; an empty benchmark gives
+an item with a null item_id hits words like any other, and only its id is left out; repeated rows give repeated results; an empty benchmark gives
 documents without hits; other columns are ignored.
 
 Scale: fingerprints are about 2/7 of the words and meet the items' fingerprints in an
@@ -77,7 +77,7 @@ def _all_fingerprints(length: int, gram: Column) -> Column:
 def _items(bench: DataFrame) -> DataFrame:
     """Classes of items with equal words: class, words, item_ids."""
     rows = bench.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    rows = rows.where("item_id is not null").select("item_id", "w", F.sha2(F.concat_ws(" ", "w"), 256).alias("class"))
+    rows = rows.select("item_id", "w", F.sha2(F.concat_ws(" ", "w"), 256).alias("class"))
     return rows.groupBy("class", "w").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
 
 
@@ -189,7 +189,7 @@ WITH tok AS (
 itok AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id,
          list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 iwin AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS win
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM itok WHERE len(w) > 0)),

@@ -9,7 +9,7 @@ from helpers import SF, duck_rows, rows_of
 from pyspark.sql import functions as F
 
 from millrace.llm import common, exact_dedup, line_dedup, ngram_join
-from millrace.llm.components import components
+from millrace.operators.components import connected_components as components
 
 SPACES = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -52,13 +52,26 @@ def test_exact_sql(spark):
 
 
 def test_merge_index_levels_and_lookup(spark):
-    index = exact_dedup.MergeIndex(spark, fan_in=2)
-    for batch in ([(b"a", 1, 9), (b"b", 1, 1)], [(b"a", 2, 10)], [(b"c", 1, 3), (b"a", 2, 4)]):
-        index.put(spark.createDataFrame([(bytearray(d), n, i) for d, n, i in batch], "digest binary, n_cp int, doc_id long"))
-    assert len(index.runs) == 3
+    index = exact_dedup.MergeIndex(spark, fan_in=2, memtable_rows=20)
+    rows = [(b"%d" % (i % 37), i % 5, i) for i in range(150)]
+    for lo in (0, 60, 90):
+        part = rows[lo : {0: 60, 60: 90, 90: 150}[lo]]
+        index.put(spark.createDataFrame([(bytearray(d), n, i) for d, n, i in part], "digest binary, n_cp int, doc_id long"))
+    assert index.runs == 4 + 2 + 4
+    found = {(r["best"]["id"], r["n_rows"]) for r in index.lookup([b"7"]).collect()}
+    assert {i for i, _ in found} <= {i for d, _, i in rows if d == b"7"} and len(found) > 1
     got = {bytes(r["digest"]): (r["best"]["id"], r["n_rows"]) for r in index.compact().collect()}
-    assert got == {b"a": (4, 3), b"b": (1, 1), b"c": (3, 1)} and len(index.runs) == 1
-    assert [r["best"]["id"] for r in index.lookup([b"c", b"z"]).collect()] == [3]
+    assert index.runs == 1 and index.levels == 4
+    want = {}
+    for d, n, i in rows:
+        want.setdefault(d, []).append((-n, i))
+    assert got == {d: (min(m)[1], len(m)) for d, m in want.items()}
+
+
+def test_exact_small_memtables_and_a_large_group(spark, odd_docs):
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, "the same " * 3 if i % 2 else f"t{i // 8}") for i in range(120)], "doc_id long, text string"))
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs, memtable_rows=7, fan_in=2).collect())
+    assert got == exact_expected(plain(docs))
 
 
 def lines_expected(rows):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,29 +27,48 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def store(df: DataFrame, name: str) -> str:
+    """Writes df as Parquet to the shared folder; returns the place, which the caller may delete()."""
+    place = f"{shared_dir(df.sparkSession)}/millrace/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return place
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: short lineage, true sizes, safe from lost executors."""
-    spark = df.sparkSession
-    place = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    remember(place)
-    return spark.read.schema(df.schema).parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(remember(store(df, name)))
 
 
 def remember(place: str) -> str:
-    """Has release() delete the folder too."""
+    """Has release(), or the scratch() around it, delete the folder too."""
     _WRITTEN.append(place)
     return place
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes what materialise() has written in this process; only after the results that rest on it were written or collected."""
+def delete(spark: SparkSession, *places: str) -> int:
     hadoop, jvm, n = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm, 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for place in places:
+        path = jvm.org.apache.hadoop.fs.Path(place)
         n += bool(path.getFileSystem(hadoop).delete(path, True))
     return n
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what was materialised inside; for work whose results are stored or collected before."""
+    mark = len(_WRITTEN)
+    yield
+    places = _WRITTEN[mark:]
+    del _WRITTEN[mark:]
+    delete(spark, *places)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what materialise() has written in this process; only after the results that rest on it were written or collected."""
+    places = _WRITTEN[:]
+    _WRITTEN.clear()
+    return delete(spark, *places)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from millrace.runtime import materialise, shared_dir, table
+from millrace.runtime import delete, materialise, remember, scratch, shared_dir, store, table
 
-__all__ = ["ascii_lower", "bitmap_filter", "bound_batches", "buckets_for", "fold_null", "give_back", "let", "map_texts", "materialise", "may_contain", "probed", "shared_dir", "table", "without_spaces"]
+__all__ = ["ascii_lower", "bitmap_filter", "bound_batches", "buckets_for", "delete", "fold_null", "give_back", "let", "map_texts", "materialise", "may_contain", "probed", "remember", "scratch", "shared_dir", "store", "table", "without_spaces"]
 
 # The six characters of [\x20\x09-\x0D], and the two alphabets.
 SPACES = " \t\n\x0b\x0c\r"

@@ -49,9 +49,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
 from millrace.operators.components import connected_components as components
 
+from . import common
+
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -107,7 +108,7 @@ def _scan(docs: DataFrame, n: int, pool: float) -> DataFrame:
 
         return run
 
-    return common.map_texts(docs, ["doc_id"], "n int, node long, check long, tokens binary", start)
+    return common.map_texts(docs, [c for c in docs.columns if c != "text"], "n int, node long, check long, tokens binary", start)
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -127,7 +128,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 #: Tokens that one task counts, and tokens of one chunk of rows that are sorted by shard.
-_SHARD_TOKENS, _CHUNK_TOKENS = 2_000_000, 500_000
+_SHARD_TOKENS, _CHUNK_TOKENS = 1_000_000, 500_000
 _CELL = "shard int, token binary, own binary, names binary"
 
 
@@ -172,25 +173,44 @@ def _pack(shards: int):
     return run
 
 
-def _count_lone(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard: how many tokens each class has alone."""
-    token = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["token"]])
-    names = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in pdf["names"]]
-    base = np.cumsum([0, *map(len, names)])
-    own = np.concatenate([np.frombuffer(x, np.uint16 if x[0] == 2 else np.uint32, offset=1).astype(np.int64) + b for x, b in zip(pdf["own"], base[:-1], strict=True)])
-    names = np.concatenate(names)
+def _distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of (node, check) names, and where each row is among them."""
     order = np.lexsort((names[:, 1], names[:, 0]))
     ranked = names[order]
     new = np.r_[True, (ranked[1:] != ranked[:-1]).any(axis=1)]
     row = np.empty(len(names), np.int64)
-    row[order] = np.cumsum(new) - 1  # a class that came with several chunks is one
-    names = ranked[new]
-    key = np.unique(token.astype(np.uint64) << np.uint64(32) | row[own].astype(np.uint64))
-    token, owner = key >> np.uint64(32), (key & np.uint64(2**32 - 1)).astype(np.int64)
-    other = token[1:] != token[:-1]
-    lone = np.bincount(owner[np.r_[True, other] & np.r_[other, True]], minlength=len(names))
-    some = lone > 0
-    return pd.DataFrame({"node": names[some, 0], "check": names[some, 1], "lone": lone[some]})
+    row[order] = np.cumsum(new) - 1
+    return ranked[new], row
+
+
+_LONE = "part int, names binary, lone binary"
+
+
+def _count_lone(parts: int):
+    """Of one shard: how many tokens each class has alone, packed by part of the classes."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        token = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["token"]])
+        names = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in pdf["names"]]
+        base = np.cumsum([0, *map(len, names)])
+        own = np.concatenate([np.frombuffer(x, np.uint16 if x[0] == 2 else np.uint32, offset=1).astype(np.int64) + b for x, b in zip(pdf["own"], base[:-1], strict=True)])
+        names, row = _distinct(np.concatenate(names))  # a class that came with several chunks is one
+        key = np.unique(token.astype(np.uint64) << np.uint64(32) | row[own].astype(np.uint64))
+        token, owner = key >> np.uint64(32), (key & np.uint64(2**32 - 1)).astype(np.int64)
+        other = token[1:] != token[:-1]
+        lone = np.bincount(owner[np.r_[True, other] & np.r_[other, True]], minlength=len(names))
+        part = (names[:, 0] % parts).astype(np.int32)
+        out = [(k, names[at].tobytes(), lone[at].astype(np.int32).tobytes()) for k in range(parts) if len(at := np.flatnonzero((part == k) & (lone > 0)))]
+        return pd.DataFrame(out, columns=["part", "names", "lone"])
+
+    return run
+
+
+def _sum_lone(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one part of the classes: the shards' counts of each class together."""
+    names, row = _distinct(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in pdf["names"]]))
+    lone = np.bincount(row, np.concatenate([np.frombuffer(x, np.int32) for x in pdf["lone"]]), len(names))
+    return pd.DataFrame({"node": names[:, 0], "check": names[:, 1], "lone": lone.astype(np.int64)})
 
 
 def _classes(rows: DataFrame, num: int, den: int, shard_tokens: int) -> DataFrame:
@@ -201,7 +221,9 @@ def _classes(rows: DataFrame, num: int, den: int, shard_tokens: int) -> DataFram
     """
     total = rows.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     shards = total // 8 // shard_tokens + 1
-    lone = rows.select("node", "check", "tokens").mapInPandas(_pack(shards), _CELL).groupBy("shard").applyInPandas(_count_lone, "node long, check long, lone long")
+    parts = shards // 2 + 1
+    cells = rows.select("node", "check", "tokens").mapInPandas(_pack(shards), _CELL)
+    lone = cells.groupBy("shard").applyInPandas(_count_lone(parts), _LONE).groupBy("part").applyInPandas(_sum_lone, "node long, check long, lone long")
     named = rows.select("node", "check", "n", F.col("doc_id") if "doc_id" in rows.columns else F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("lone"))
     both = named.where("n > 0").unionByName(lone.select("node", "check", F.lit(0).alias("n"), F.lit(None).cast("long").alias("doc_id"), "lone"))
     one = both.groupBy("node", "check").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.sum("lone").alias("lone"))
@@ -402,33 +424,42 @@ def _survivors(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int,
     return common.materialise(numbered, "survivors")
 
 
-def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block: int = 4096, block_tokens: int = 1_000_000, pool: float | None = None, shard_tokens: int = _SHARD_TOKENS) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, and node and check (its class).
+def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block: int = 4096, block_tokens: int = 1_000_000, pool: float | None = None, shard_tokens: int = _SHARD_TOKENS, texts: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, component, node and check (its class); with `texts` also text_hash.
 
     Two documents link when den * shared >= num * union of their n-word shingle sets.
+    component_id is the smallest doc_id of a component; component tells components apart
+    whatever their doc_ids are, and is null for documents without words.
     """
+    spark = docs.sparkSession
     pool = min(1.0, 2 * (1 - num / den)) if pool is None else pool
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text_hash = [F.xxhash64(common.fold_null(F.col("text"))).alias("text_hash")] if texts else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_hash, "text")
     feats = common.materialise(_scan(docs, n, pool), "shingles")
     classes = common.materialise(_classes(feats, num, den, shard_tokens), "classes")
-    survivors = _survivors(docs, classes, n, num, den, shard_tokens)
-
-    rows = common.materialise(_index(common.materialise(_ordered(survivors, num, den, pool), "ordered"), num, den), "prefixes")
-    pairs, mine = _deal(rows, block, block_tokens)
-    sets = survivors.select("node", "tokens").join(mine, "node", "left_semi")
-    dealt = pairs.join(sets, "node").repartition("task", "i", "j").sortWithinPartitions("task", "i", "j")
-    run, schema = _join_task(num, den)
-    links = dealt.select("task", "i", "j", "node", "side", "tokens").mapInPandas(run, schema)
-    # Written first: the components read their edges more than once.
-    roots = components(common.materialise(links, "links")).join(survivors.select("node", "a", "b"), "node")
+    survivors = _survivors(docs.select("doc_id", "text"), classes, n, num, den, shard_tokens)
+
+    with common.scratch(spark):
+        rows = common.materialise(_index(common.materialise(_ordered(survivors, num, den, pool), "ordered"), num, den), "prefixes")
+        pairs, mine = _deal(rows, block, block_tokens)
+        sets = survivors.select("node", "tokens").join(mine, "node", "left_semi")
+        dealt = pairs.join(sets, "node").repartition("task", "i", "j").sortWithinPartitions("task", "i", "j")
+        run, schema = _join_task(num, den)
+        found = dealt.select("task", "i", "j", "node", "side", "tokens").mapInPandas(run, schema)
+        links = common.store(found, "links")  # the components read their edges more than once
+    roots = components(spark.read.schema(schema).parquet(common.remember(links))).join(survivors.select("node", "a", "b"), "node")
 
     linked = roots.select(F.col("a").alias("node"), F.col("b").alias("check"), "root")
     named = common.materialise(classes.select("node", "check", "doc_id").join(linked, ["node", "check"], "left"), "named")
     names = common.materialise(named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest")), "names")
-    named = named.join(names, "root", "left").select("node", "check", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
-    out = feats.select("doc_id", "n", "node", "check").join(common.materialise(named, "components"), ["node", "check"], "left")
+    lone = F.concat_ws(":", "node", "check")
+    named = named.join(names, "root", "left").select(
+        "node", "check", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"),
+        F.when(F.col("root").isNull(), lone).otherwise(F.col("root").cast("string")).alias("component"),
+    )
+    out = feats.drop("tokens").join(common.materialise(named, "components"), ["node", "check"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), "node", "check")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), "component", "node", "check", *(["text_hash"] if texts else []))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

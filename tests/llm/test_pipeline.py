@@ -1,5 +1,8 @@
 """The pipeline's stages against brute force on the documents of sf0.01."""
 
+import importlib.util
+from pathlib import Path
+
 import corpus_pipeline
 
 from millrace.llm import common, exact_dedup, pieces, toxicity
@@ -7,17 +10,15 @@ from millrace.llm import common, exact_dedup, pieces, toxicity
 SF = "/root/testdata/sf0.01"
 
 
-def test_stages(spark):
-    import importlib.util
-    from pathlib import Path
+def _load(name):
+    spec = importlib.util.spec_from_file_location(name, Path(__file__).with_name(f"{name}.py"))
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module
 
-    def load(name):
-        spec = importlib.util.spec_from_file_location(name, Path(__file__).with_name(f"{name}.py"))
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
-        return module
 
-    dedup, text = load("test_dedup"), load("test_text")
+def test_stages(spark):
+    dedup, text = _load("test_dedup"), _load("test_text")
     bench = [(r["item_id"], r["text"]) for r in common.table(spark, SF, "benchmark").collect()]
     docs = common.table(spark, SF, "documents")
     columns = docs.columns
@@ -45,6 +46,46 @@ def test_stages(spark):
         docs = out
 
 
+def test_run(spark):
+    """run() as a whole against brute force over the smallest tables."""
+    sf = "/root/testdata/sf0.001"
+    dedup, text = _load("test_dedup"), _load("test_text")
+    scorer = toxicity.Scorer(toxicity.train(common.table(spark, sf, "documents"), common.table(spark, sf, "labels")))
+    left = {i: t for i, t in text.plain(common.table(spark, sf, "documents")) if scorer.score(t) < 0.3}
+    left = {k: left[k] for _, k, _, _ in dedup.exact_expected(left.items())}
+    left = {i: left[i] for i, _, c in dedup.near_expected(list(left.items()), 5, 80) if i == c}
+    bench = [(r["item_id"], r["text"]) for r in common.table(spark, sf, "benchmark").collect()]
+    clean = {i for i, _, n, _ in text.hits_expected(left.items(), bench) if not n}
+    with open(pieces.default_model(), "rb") as f:
+        model = pieces.PieceModel(f.read())
+    got = corpus_pipeline.run(spark, sf)
+    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
+    rows = got.collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(clean) and 0 < len(clean) < len(left)
+    assert all(list(r["ids"]) == model.encode(left[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) and r["round_trip"] for r in rows)
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    """A row is judged by its id and its text together."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:40], "other", *words[41:]])
+    rows = [
+        (None, " ".join(words)), (None, " ".join(words)), (None, "  ".join(words)), (5, "  ".join(words)), (5, " ".join(reversed(words))), (5, near), (None, near),
+        (None, "own words of a text of its own"), (None, None), (7, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    pairs = lambda df: sorted(str((r["doc_id"], r["text"])) for r in df.select("doc_id", "text").collect())
+    apart = common.materialise(corpus_pipeline.drop_copies(spark, docs, SF), "odd-exact")
+    assert pairs(apart) == sorted(str(x) for x in [(5, "  ".join(words)), (5, near), (5, " ".join(reversed(words))), (None, "own words of a text of its own"), (7, None)])
+    for given in (apart, docs):
+        kept = pairs(corpus_pipeline.drop_near_copies(spark, given, SF))
+        # 5 with 60 words and `near` are linked; of two rows of id 5 the one with the smaller text hash stays.
+        assert len([x for x in kept if "w1 " in x or "w1'" in x or "w3" in x]) == 2 and any("own words" in x for x in kept)
+    item = common.table(spark, SF, "benchmark").where("length(text) > 200").first()["text"]
+    mixed = spark.createDataFrame([(None, item, "en", "s", 0), (9, item, "en", "s", 0), (9, "clean", "en", "s", 0), (None, "clean", "en", "s", 0)], docs.schema)
+    assert pairs(corpus_pipeline.drop_contaminated(spark, mixed, SF)) == sorted([str((9, "clean")), str((None, "clean"))])
+
+
 def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
     assert exact_dedup.exact_dedup(odd_docs).count() == odd_docs.count()
     kept = common.materialise(corpus_pipeline.drop_copies(spark, odd_docs, SF), "odd")

@@ -5,62 +5,91 @@ and returns a DataFrame; run() writes each result as Parquet in the shared folde
 reads it again for the next stage. All stages but the last return the columns of
 documents, extra columns included.
 
-Rows with a null doc_id are judged like others, but the dedup stages can't name them and
-keep them. Rows that share a doc_id and a text are one document; exact dedup keeps one.
+A row is known by its doc_id and its text together, so rows with a null or repeated
+doc_id are judged like others. Rows that share both are one document: exact dedup keeps
+one of them, the other filters keep or drop them together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import common, decontaminate, exact_dedup, ngram_join, pieces, toxicity
 
+_KEY = "_millrace_key"
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the doc_ids in gone; Spark broadcasts gone only where its size is below its threshold."""
-    gone = common.materialise(gone.select(F.col("doc_id").alias("gone_id")).distinct(), "dropped")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+def _key(*parts: Column) -> Column:
+    """128 bits for a row's doc_id and text; a null doc_id is told from all others."""
+    text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts])
+    return F.unhex(F.md5(text))
+
+
+def _without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """docs without the rows whose key is in gone(_millrace_key).
+
+    Rows that a filter of the keys rejects pass without a join, so their texts aren't shuffled.
+    """
+    gone = common.materialise(gone.select(_KEY).distinct(), "dropped")
+    buckets = common.buckets_for(gone.count())
+    flagged = common.probed(docs.withColumn(_KEY, key), _KEY, common.bitmap_filter(gone, _KEY, buckets), buckets)
+    stay = flagged.where("not _may").unionByName(flagged.where("_may").join(gone, _KEY, "left_anti"))
+    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below the threshold."""
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}  # extra columns may be called anything
-    renamed = docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    kept = toxicity.scored(renamed, model, ["text", *names.values()]).where(F.col("score") < toxicity.THRESHOLD)
-    return kept.select(*[F.col("text") if c == "text" else F.col(names[c]).alias(c) for c in docs.columns])
+    rows, names = _renamed(docs)
+    return _restored(toxicity.scored(rows, model, rows.columns).where(F.col("score") < toxicity.THRESHOLD), docs, names)
+
+
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1 and so on besides doc_id and text; extra columns may be called anything."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def _restored(df: DataFrame, docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    found = common.materialise(exact_dedup.exact_dedup(docs).select("doc_id", "kept", "digest"), "copies")
-    some = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
-    clean = _without(docs, some.where("not kept"))
-    twice = common.materialise(some.where("kept and rows > 1").select("doc_id"), "repeated-ids")
+    rows, names = _renamed(docs)
+    found = exact_dedup.exact_dedup(docs).select(_key(F.col("doc_id"), F.col("n_cp"), F.hex("digest")).alias(_KEY), "kept")
+    # Rows of one key are repeats, or differ in their blanks only.
+    found = found.groupBy(_KEY).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    found = common.materialise(found.where("not kept or n > 1"), "copies")
+    text = common.fold_null(F.col("text"))
+    key = _key(F.col("doc_id").cast("long"), F.char_length(text), F.hex(exact_dedup.sha_digest(common.without_spaces(text))))
+    clean = _without(rows, found.where("not kept"), key)
+    twice = found.where("kept").select(_KEY)
     if twice.isEmpty():
-        return clean
-    # Ids of several rows: their kept texts, one row each.
-    digest = exact_dedup.sha_digest(common.without_spaces(common.fold_null(F.col("text"))))
-    columns = clean.columns
-    rows = clean.join(twice, "doc_id", "left_semi").withColumn("millrace_digest", digest)
-    keep = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
-    rows = rows.join(keep, (rows["doc_id"] == keep["kept_id"]) & (rows["millrace_digest"] == keep["kept_digest"]), "left_semi")
-    longest = F.max_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.char_length(common.fold_null(F.col("text"))))
-    rows = rows.groupBy("doc_id", "millrace_digest").agg(longest.alias("millrace_row")).select("millrace_row.*")
-    return _without(clean, twice).unionByName(rows)
+        return _restored(clean, docs, names)
+    several = clean.withColumn(_KEY, key).join(twice, _KEY, "left_semi")
+    one = several.groupBy(_KEY).agg(F.first(F.struct(*rows.columns)).alias("row")).select("row.*")
+    return _restored(_without(clean, twice, key).unionByName(one), docs, names)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group linked by five-word shingles at a similarity of 0.8."""
-    found = ngram_join.ngram_join(docs, n=5, num=80, den=100)
-    return _without(docs, found.where("doc_id <> component_id"))
+    """One document, of the smallest doc_id, of each group linked by five-word shingles at a similarity of 0.8."""
+    rows, names = _renamed(docs)
+    text_hash = F.xxhash64(common.fold_null(F.col("text")))
+    found = common.materialise(ngram_join.ngram_join(docs, n=5, num=80, den=100, texts=True), "near")
+    found = found.where("component is not null").select("component", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("row"))
+    first = common.materialise(found.groupBy("component").agg(F.min("row").alias("first")), "first")
+    gone = found.join(first, "component").where("row <> first")
+    return _restored(_without(rows, gone.select(_key(F.col("row.doc_id"), F.col("row.text_hash")).alias(_KEY)), _key(F.col("doc_id").cast("long"), text_hash)), docs, names)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a ten-word window of a benchmark item."""
-    found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("n_hit > 0"))
+    rows, names = _renamed(docs)
+    text_hash = F.xxhash64(common.fold_null(F.col("text")))
+    found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark")).where("n_hit > 0")
+    return _restored(_without(rows, found.select(_key(F.col("doc_id"), F.col("text_hash")).alias(_KEY)), _key(F.col("doc_id").cast("long"), text_hash)), docs, names)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +110,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has written for itself goes when its result is written, and that when the next one's is."""
+    docs, before = common.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            place = common.store(made, f"stage-{name}")
+        docs = spark.read.schema(made.schema).parquet(place)
+        common.delete(spark, *before)
+        before = [place]
+    common.remember(place)
     return docs

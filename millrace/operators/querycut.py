@@ -8,11 +8,14 @@ bounded by the history limit) are optimised on the driver.
 from __future__ import annotations
 
 import random
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.settings import Settings
+
 
 def recent_queries(history: DataFrame, now_ms: int, window_ms: int, most: int) -> DataFrame:
     """Of history(query_id, finished_ms) the queries inside the time window, the newest `most`."""
@@ -135,10 +138,12 @@ def _moves(p: Placement) -> list[tuple[int, int, int]]:
     return [(c, a, b) for c, row in sorted(p.n.items()) for a in range(k) if row[a] for b in range(k) if a != b]
 
 
-def _greedy(p: Placement, limit: float, steps: list) -> Placement:
-    while True:
+def _greedy(p: Placement, limit: float, steps: list, most: int, until: float) -> Placement:
+    for _ in range(most):
         best = None
         for move in _moves(p):
+            if time.monotonic() > until:
+                return p
             q = p.moved(*move)
             if q.cost() < p.cost() and q.worst() <= max(limit, p.worst()) and (best is None or (q.cost(), q.worst()) < (best[0].cost(), best[0].worst())):
                 best = (q, move)
@@ -146,17 +151,24 @@ def _greedy(p: Placement, limit: float, steps: list) -> Placement:
             return p
         p = best[0]
         steps.append(("greedy", *best[1], p.cost(), p.worst()))
+    return p
 
 
-def iterated_local_search(start: Placement, limit: float = 0.5, iterations: int = 50, seed: int = 0) -> tuple[Placement, list[tuple]]:
+def iterated_local_search(
+    start: Placement, limit: float = 0.5, iterations: int = 50, seed: int = 0, greedy_iterations: int = 500, balance_first: bool = True,
+    budget_ms: float | None = None, greedy_ms: float | None = None,
+) -> tuple[Placement, list[tuple]]:
     """Balances, then alternates greedy descent and perturbation; accepts what is cheaper and balanced.
 
     Perturbation unites a random cluster on its largest part. Returns the best placement
     and the steps (kind, cluster, source, target, cost, worst imbalance). The cost never
-    ends above that of the balanced start.
+    ends above that of the balanced start. Time limits, where given, end the search and
+    each descent early; without them the result depends on the seed alone.
     """
     rng, steps, p = random.Random(seed), [], start
-    while p.worst() > limit:  # balance first
+    end = time.monotonic() + budget_ms / 1000 if budget_ms is not None else float("inf")
+    until = lambda: min(end, time.monotonic() + greedy_ms / 1000) if greedy_ms is not None else end
+    while balance_first and p.worst() > limit:
         loads = p.loads()
         high = loads.index(max(loads))
         options = [q for q in ((p.moved(*m), m) for m in _moves(p) if m[1] == high) if q[0].worst() < p.worst()]
@@ -164,21 +176,53 @@ def iterated_local_search(start: Placement, limit: float = 0.5, iterations: int
             break
         p, move = min(options, key=lambda o: (o[0].worst(), o[0].cost()))
         steps.append(("balance", *move, p.cost(), p.worst()))
-    best = _greedy(p, limit, steps)
+    best = _greedy(p, limit, steps, greedy_iterations, until())
     for _ in range(iterations if best.n else 0):
+        if time.monotonic() > end:
+            break
         c = rng.choice(sorted(best.n))
         row, q = best.n[c], best
         home = row.index(max(row))
         for a in range(len(row)):
             if a != home and q.n[c][a]:
                 q = q.moved(c, a, home)
-        q = _greedy(q, limit, [])
+        q = _greedy(q, limit, [], greedy_iterations, until())
         if q.cost() < best.cost() and q.worst() <= max(limit, best.worst()):
             best = q
             steps.append(("perturb", c, -1, home, best.cost(), best.worst()))
     return best, steps
 
 
+@dataclass(frozen=True)
+class Move:
+    """Vertices of the included queries go from source to target, unless a query that is neither included nor tolerated touched them."""
+
+    source: int
+    target: int
+    include: tuple[int, ...]
+    tolerate: tuple[int, ...] = ()
+
+
+def plan_moves(steps: list[tuple], start: Placement, clusters: dict[int, list[int]]) -> list[Move]:
+    """Moves of a search's steps: where each cluster's vertices of each part end up.
+
+    Queries that leave the same source for another target are tolerated there.
+    """
+    to = {c: list(range(len(row))) for c, row in start.n.items()}
+    for kind, cluster, source, target, *_ in steps:
+        for a, at in enumerate(to[cluster]):
+            if kind == "perturb" or at == source:
+                to[cluster][a] = target
+    pairs: dict[tuple[int, int], list[int]] = {}
+    leaving: dict[int, set[int]] = {}
+    for c, ends in sorted(to.items()):
+        for a, b in enumerate(ends):
+            if a != b and start.n[c][a]:
+                pairs.setdefault((a, b), []).extend(clusters[c])
+                leaving.setdefault(a, set()).update(clusters[c])
+    return [Move(a, b, tuple(sorted(q)), tuple(sorted(leaving[a] - set(q)))) for (a, b), q in sorted(pairs.items())]
+
+
 def migrate(touched: DataFrame, parts: DataFrame, include: list[int], tolerate: list[int], source: int, target: int, min_move: int = 0) -> DataFrame:
     """parts after moving, from source to target, vertices of the included queries that no other query touched.
 
@@ -192,28 +236,35 @@ def migrate(touched: DataFrame, parts: DataFrame, include: list[int], tolerate:
     return parts.join(moving, "id", "left").select("id", F.coalesce("to", "part").cast("int").alias("part"))
 
 
-@dataclass(frozen=True)
-class MovePolicy:
-    """When a new decision is carried out; shipped values."""
-
-    locality_low: float = 0.3
-    locality_drop: float = -0.10
-    locality_rise: float = 0.02
-    worst_imbalance: float = 0.30
-    mean_imbalance: float = 0.20
-    extra_shots: int = 3
-
-    def triggers(self, new_decision: bool, enabled: bool, active: int, most: int, locality: float, before: float, worst: float, mean: float, shots_left: int) -> bool:
-        if not (new_decision and enabled and active == most):
+@dataclass
+class MoveTrigger:
+    """Whether a new decision is carried out, and what it remembers from one to the next.
+
+    It is when locality is low or has changed much since the last time, when an imbalance
+    exceeds its limit by more than a margin, or when extra shots are left; a shot is spent
+    where nothing else speaks for a move, and low or changed locality grants new ones.
+    """
+
+    settings: Settings
+    last_locality: float = 0.0
+    shots_left: int = 0
+
+    def fires(self, new_decision: bool, active: int, locality: float, worst: float, mean: float) -> bool:
+        s = self.settings
+        if not (new_decision and s.move_enabled and active == s.max_parallel_queries):
+            return False
+        change = locality - self.last_locality
+        by_locality = locality < s.locality_low or change < s.locality_drop or change > s.locality_rise
+        by_imbalance = worst > s.max_imbalance + s.max_imbalance_margin or mean > s.mean_imbalance + s.mean_imbalance_margin
+        if not (by_locality or by_imbalance or self.shots_left > 0):
             return False
-        change = locality - before
-        return locality < self.locality_low or change < self.locality_drop or change > self.locality_rise or worst > self.worst_imbalance or mean > self.mean_imbalance or shots_left > 0
+        if by_locality:
+            self.last_locality, self.shots_left = locality, s.extra_shots
+        elif not by_imbalance:
+            self.shots_left -= 1
+        return True
 
 
 def recently_active(state: DataFrame, now_step: int, window: int) -> DataFrame:
     """Vertices that were active in the last `window` supersteps."""
     return state.where(F.col("last_step") >= now_step - window).select("id").distinct()
-
-
-def rank_history(history: DataFrame) -> DataFrame:
-    return history.withColumn("age", F.row_number().over(Window.orderBy(F.desc("finished_ms"), F.desc("query_id"))))

@@ -69,6 +69,16 @@ def query_summary(supersteps: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.select("query_id", query_hash(F.col("source"), F.col("target")).alias("query_hash")).join(rows, "query_id", "left")
 
 
+def batch_steps(supersteps: DataFrame, batch: int) -> DataFrame:
+    """A run's metrics as the per-query statistics of its batch, step by step."""
+    return supersteps.select(F.lit(batch).alias("batch"), "query_id", "superstep", "active", "touched_new", "touched", "wall_ms")
+
+
+def durations(supersteps: DataFrame) -> DataFrame:
+    """(query_id, duration_ms, mean_step_ms) of a run: the wall time of the steps that a query took part in."""
+    return supersteps.groupBy("query_id").agg(F.sum("wall_ms").alias("duration_ms"), F.avg("wall_ms").alias("mean_step_ms"))
+
+
 def query_hash(source: Column, target: Column) -> Column:
     """31 (31 + source) + target in wrapping 32-bit arithmetic."""
     x = (source + 31) * 31 + target

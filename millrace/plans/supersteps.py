@@ -3,7 +3,8 @@
 State is one DataFrame keyed (query_id, id). A superstep joins the active rows with the
 edges, combines what arrives at each (query_id, vertex), and merges it into the state;
 a query ends when none of its rows is active. Vertices without a state row have the
-program's default. The driver sees one row per query and step.
+program's default. Messages to ids that are no vertices are dropped. The driver sees one
+row per query and step; a step's state replaces the one before it on disk.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.graph import Graph
-from millrace.runtime import materialise
+from millrace.runtime import delete, remember, store
 
 
 class VertexProgram:
@@ -24,12 +25,18 @@ class VertexProgram:
     values:      names of the state's value columns
     start():     (query_id, id, *values) of the vertices that compute in step 0 and send
     message():   columns sent along an edge; src_* state columns, edge columns dst, weight
+    letters():   further messages to any vertices: (query_id, id, message columns) of the
+                 senders (query_id, src_id, src_*), or None
     combine():   aggregates of messages for one vertex, named like the message columns
     apply():     new value columns from the old ones and the inbox, in_* (null: no message)
     active():    whether the vertex sends in the next step
+    wake():      who starts a step besides the active rows: None, "all" rows of the state,
+                 or the rows (query_id, id) of a DataFrame
     bound():     filter on the senders, from the aggregator's columns (agg_*), or None
     hold():      rows that stay active but don't send in this step, or None
     aggregate(): aggregates over a query's state, available to the next step as agg_*
+    next_phase(): called when nothing is active: the rows (query_id, id) of the state that
+                 start a further phase, or None to end; the program switches its hooks
     """
 
     name = "program"
@@ -38,8 +45,11 @@ class VertexProgram:
     def start(self, graph: Graph, queries: DataFrame) -> DataFrame:
         raise NotImplementedError
 
-    def message(self) -> list[Column]:
-        raise NotImplementedError
+    def message(self) -> list[Column] | None:
+        return None
+
+    def letters(self, senders: DataFrame) -> DataFrame | None:
+        return None
 
     def combine(self) -> list[Column]:
         raise NotImplementedError
@@ -50,6 +60,9 @@ class VertexProgram:
     def active(self) -> Column:
         raise NotImplementedError
 
+    def wake(self, step: int, state: DataFrame) -> DataFrame | str | None:
+        return None
+
     def bound(self) -> Column | None:
         return None
 
@@ -59,6 +72,9 @@ class VertexProgram:
     def aggregate(self) -> list[Column]:
         return []
 
+    def next_phase(self, state: DataFrame) -> DataFrame | None:
+        return None
+
     def edges(self, graph: Graph) -> DataFrame:
         return graph.edges
 
@@ -82,22 +98,54 @@ class Run:
         return self.state.select("query_id", "id", "first_step")
 
 
+def _woken(state: DataFrame, who: DataFrame | str | None) -> DataFrame:
+    """The state with further rows active."""
+    if who is None:
+        return state
+    if isinstance(who, str):
+        if who != "all":
+            raise ValueError(who)
+        return state.withColumn("active", F.lit(True))
+    marks = who.select("query_id", "id").distinct().withColumn("woken", F.lit(True))
+    return state.join(marks, ["query_id", "id"], "left").withColumn("active", F.col("active") | F.coalesce("woken", F.lit(False))).drop("woken")
+
+
 def run(program: VertexProgram, graph: Graph, queries: DataFrame, max_steps: int = 10_000) -> Run:
     spark = graph.edges.sparkSession
+    graph = graph.known()
     edges = program.edges(graph)
-    began = time.time()
-    state = program.start(graph, queries).withColumns({"active": F.lit(True), "first_step": F.lit(0), "last_step": F.lit(0)})
-    state = materialise(state, f"{program.name}-0")
+    began, place = time.time(), None
+
+    def saved(rows: DataFrame, step: int) -> DataFrame:
+        nonlocal place
+        before, place = place, store(rows, f"{program.name}-{step}")
+        if before:
+            delete(spark, before)
+        return spark.read.schema(rows.schema).parquet(place)
+
+    first = program.start(graph, queries).withColumns({"active": F.lit(True), "first_step": F.lit(0), "last_step": F.lit(0)})
+    state = saved(first, 0)
     out = Run(spark, state)
     for step in range(max_steps):
-        counts = state.groupBy("query_id").agg(
-            F.count_if("active").alias("active"), F.count_if(F.col("first_step") == step).alias("new"), F.count(F.lit(1)).alias("touched"), *program.aggregate()
-        )
-        seen = counts.collect()  # one row per query
+        state = _woken(state, program.wake(step, state))
+
+        def counted(state: DataFrame, step: int = step) -> tuple[list, DataFrame]:
+            counts = state.groupBy("query_id").agg(
+                F.count_if("active").alias("active"), F.count_if(F.col("first_step") == step).alias("new"), F.count(F.lit(1)).alias("touched"), *program.aggregate()
+            )
+            return counts.collect(), counts  # one row per query
+
+        seen, counts = counted(state)
+        if not any(r["active"] for r in seen):
+            who = program.next_phase(state)
+            if who is None:
+                break
+            state = _woken(state, who)
+            seen, counts = counted(state)
+            if not any(r["active"] for r in seen):
+                break
         wall = (time.time() - began) * 1000
         out.steps += [(step, r["query_id"], r["active"], r["new"], r["touched"], wall) for r in sorted(seen, key=lambda r: r["query_id"]) if r["active"]]
-        if not any(r["active"] for r in seen):
-            break
         began = time.time()
         hold = program.hold(step)
         senders = state.where("active") if hold is None else state.where(F.col("active") & ~hold)
@@ -108,7 +156,17 @@ def run(program: VertexProgram, graph: Graph, queries: DataFrame, max_steps: int
             told = told.select("query_id", *[F.col(n).alias(f"agg_{n}") for n in names])
             senders = senders.join(F.broadcast(told), "query_id").where(bound)  # one row per admitted query
         senders = senders.select("query_id", F.col("id").alias("src_id"), *[F.col(v).alias(f"src_{v}") for v in program.values])
-        inbox = senders.join(edges, F.col("src_id") == F.col("src")).select("query_id", F.col("dst").alias("id"), *program.message())
+        sent = []
+        if program.message() is not None:
+            from_, on = senders, F.col("src_id") == F.col("src")
+            if graph.layout is not None and "part" in edges.columns:
+                from_ = senders.join(graph.layout.select(F.col("id").alias("src_id"), F.col("part").alias("src_part")), "src_id")
+                on = on & (F.col("src_part") == F.col("part"))
+            sent.append(from_.join(edges, on).select("query_id", F.col("dst").alias("id"), *program.message()))
+        letters = program.letters(senders)
+        if letters is not None:
+            sent.append(letters.join(graph.vertices.select("id"), "id", "left_semi"))
+        inbox = sent[0] if len(sent) == 1 else sent[0].unionByName(sent[1])
         inbox = inbox.groupBy("query_id", "id").agg(*program.combine())
         inbox = inbox.select("query_id", "id", *[F.col(c).alias(f"in_{c}") for c in inbox.columns if c not in ("query_id", "id")], F.lit(True).alias("in_any"))
         both = state.withColumnRenamed("active", "was_active").join(inbox, ["query_id", "id"], "full_outer")
@@ -116,12 +174,13 @@ def run(program: VertexProgram, graph: Graph, queries: DataFrame, max_steps: int
         if hold is not None:
             active = active | F.coalesce(F.col("was_active") & hold, F.lit(False))
         applied = both.select("query_id", "id", *program.apply(), active.alias("active"), "first_step", "last_step")
-        state = applied.select(
+        applied = applied.select(
             "query_id", "id", *program.values, "active", F.coalesce("first_step", F.lit(step + 1)).alias("first_step"),
             F.when(F.col("active"), F.lit(step + 1)).otherwise(F.coalesce("last_step", F.lit(step + 1))).alias("last_step"),
         )
-        state = materialise(state, f"{program.name}-{step + 1}")
+        state = saved(applied, step + 1)
         out.state = state
     else:
         raise RuntimeError(f"{program.name} is still active after {max_steps} supersteps")
+    remember(place)
     return out

@@ -39,6 +39,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(remember(store(df, name)))
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df as a bucketed table in the shared folder, one file a bucket: joins and aggregations by `key` don't shuffle it again."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    title = f"millrace_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    place = remember(f"{shared_dir(spark)}/millrace/{title}")
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", place).saveAsTable(title)
+    return spark.table(title)
+
+
+def folders(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df as Parquet with one folder for each value of `key`, which joins on it may prune."""
+    spark = df.sparkSession
+    place = remember(f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}")
+    df.repartition(key).write.partitionBy(key).parquet(place)
+    return spark.read.schema(df.schema).parquet(place).select(df.columns)
+
+
 def remember(place: str) -> str:
     """Has release(), or the scratch() around it, delete the folder too."""
     _WRITTEN.append(place)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.graph import Graph
+from millrace.settings import Settings
 
 # The separators of the text adjacency format id[,value]|dst[,w];dst[,w]...
 VERTEX_SEPARATOR, FIELD_SEPARATOR, EDGE_SEPARATOR = "|", ",", ";"
@@ -97,19 +98,26 @@ def binary_bytes(vertices: list[tuple], coordinates: bool) -> bytes:
     return b"".join(out)
 
 
+def id_hash(column: str, salt: str) -> Column:
+    """60 bits of the MD5 of salt:id, a hash that other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), F.col(column).cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 def assign_tags(vertices: DataFrame, probability: float, n_tags: int) -> DataFrame:
     """vertices with tag 0 to n_tags - 1, or -1: the same whatever the partitioning."""
-    h = F.pmod(F.xxhash64(F.lit(0), "id"), F.lit(1_000_000))
-    tag = F.when(h < F.lit(int(probability * 1_000_000)), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(n_tags))).otherwise(-1)
+    h = F.pmod(id_hash("id", "tagged"), F.lit(1_000_000))
+    tag = F.when(h < F.lit(round(probability * 1_000_000)), F.pmod(id_hash("id", "tag"), F.lit(n_tags))).otherwise(-1)
     return vertices.withColumn("tag", tag.cast("long"))
 
 
 def read_hotspots(spark: SparkSession, sizes: str, coordinates: str, first: int) -> DataFrame:
-    """(spot, name, size, lat, lon) of the first rows of name;size, with coordinates joined by lower-cased name."""
-    size = spark.read.csv(sizes, sep=";", schema="name string, size int").limit(first)
+    """(spot, name, size, lat, lon) of the first rows of name;size in the file's order, with coordinates joined by lower-cased name."""
+    size = spark.read.csv(sizes, sep=";", schema="name string, size int").withColumn("m", F.monotonically_increasing_id())
+    size = _file_rows(size).where(F.col("row_no") < first)
     coords = spark.read.csv(coordinates, sep=";", schema="name string, lat double, lon double").select(F.lower("name").alias("key"), "lat", "lon")
-    rows = size.select(F.lower("name").alias("key"), "name", "size").join(coords, "key")
-    return rows.select((F.row_number().over(Window.orderBy(F.desc("size"), "key")) - 1).alias("spot"), "name", "size", "lat", "lon")
+    rows = size.select(F.lower("name").alias("key"), "name", "size", "row_no").join(coords, "key")
+    # At most `first` rows are left; spots without coordinates leave no gap in the numbers.
+    return rows.select((F.row_number().over(Window.orderBy("row_no")) - 1).alias("spot"), "name", "size", "lat", "lon")
 
 
 @dataclass(frozen=True)
@@ -136,7 +144,7 @@ def parse_workload(lines: list[str]) -> list[Command]:
     return out
 
 
-def batches(commands: list[Command], most: int = 16) -> list[tuple[int, int, int, int]]:
+def batches(commands: list[Command], most: int = Settings.max_parallel_queries) -> list[tuple[int, int, int, int]]:
     """(query_id, batch, source, target): ids in file order, at most `most` queries at once; waitall ends a batch."""
     out, batch, inside = [], 0, 0
     for c in commands:
@@ -150,54 +158,29 @@ def batches(commands: list[Command], most: int = 16) -> list[tuple[int, int, int
     return out
 
 
-def read_workload(spark: SparkSession, path: str, most: int = 16) -> DataFrame:
+def read_workload(spark: SparkSession, path: str, most: int = Settings.max_parallel_queries) -> DataFrame:
     lines = [r[0] for r in spark.read.text(path).collect()]  # a plan is a small control file
     return spark.createDataFrame(batches(parse_workload(lines), most), "query_id int, batch int, source long, target long")
 
 
-@dataclass
-class Settings:
-    """Configuration with the shipped values; overridden by name=value."""
-
-    max_parallel_queries: int = 16
-    query_global_barrier: bool = False
-    sp_dist_step_factor: float = 4.0
-    search_next_tag: bool = True
-    search_next_tag_probability: float = 0.00008
-    search_next_tag_num_tags: int = 1
-    input_partitioner: str = "Hashed"
-    partitions_per_worker: int = 1
-    hotspot_spots: int = 8
-    hotspot_range: float = 50_000
-    intersect_sampling: int = 100
-    intersect_chunk_limit: int = 200
-    query_cut_window_ms: int = 240_000
-    query_cut_max_queries: int = 128
-    query_cut_min_chunk: int = 100
-    min_move_vertices: int = 500
-    clusters_per_worker: int = 4
-    clusters_additional: int = 0
-
-    def override(self, lines: list[str]) -> Settings:
-        """Applies key = value lines; # starts a comment; unknown keys are refused."""
-        kinds = {f.name: type(getattr(self, f.name)) for f in fields(self)}
-        for line in lines:
-            key, eq, value = line.partition("#")[0].partition("=")
-            if not eq:
-                continue
-            key, value = key.strip(), value.strip()
-            if key not in kinds:
-                raise KeyError(key)
-            setattr(self, key, value.lower() == "true" if kinds[key] is bool else kinds[key](value))
-        return self
-
-
 def read_stats_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(row_no, metrics...) of one ;-separated file of doubles with a header (a trailing ; is allowed)."""
+    """(row_no, metrics...) of one ;-separated file of doubles with a header (a trailing ; is allowed).
+
+    Rows are numbered within their piece of the file and shifted by the sizes of the pieces
+    before, of which there is one row each.
+    """
     raw = spark.read.csv(path, sep=";", header=True)
     names = [c for c in raw.columns if not c.startswith("_c") and c.strip()]
     rows = raw.select(F.monotonically_increasing_id().alias("m"), *[F.col(f"`{c}`").cast("double").alias(c) for c in names])
-    return rows.select((F.row_number().over(Window.orderBy("m")) - 1).cast("long").alias("row_no"), *names)
+    return _file_rows(rows).select("row_no", *names)
+
+
+def _file_rows(rows: DataFrame) -> DataFrame:
+    """rows with a column m of increasing ids, numbered 0, 1, ... in that order as row_no."""
+    piece, within = F.shiftright("m", 33), F.col("m").bitwiseAND(F.lit(2**33 - 1))
+    sizes = rows.groupBy(piece.alias("piece")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("piece", F.coalesce(F.sum("n").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.withColumn("piece", piece).join(before, "piece").withColumn("row_no", (F.col("before") + within).cast("long"))
 
 
 def column_dataset(samples: DataFrame, column: str, factor: float = 1.0, name: str | None = None, start_row: int = 0) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.settings import Settings
+from millrace.sources.readers import id_hash
+
 
 def vertex_lines(values: DataFrame, value: str = "value") -> DataFrame:
     """(query_id, line): id, tab, value; rows without a value are left out."""
@@ -17,7 +20,7 @@ def write_vertices(values: DataFrame, path: str, value: str = "value") -> None:
 
 
 def sp_value(state: DataFrame) -> DataFrame:
-    """State of a shortest-path run with its text value pre:dist:later:onpath (later is always false here)."""
+    """State of a marked shortest-path run with its text value pre:dist:later:onpath (later is always false here)."""
     return state.withColumn("value", F.concat_ws(":", F.col("pre").cast("string"), F.col("dist").cast("string"), F.lit("false"), F.col("on_path").cast("string")))
 
 
@@ -27,6 +30,28 @@ def path_lines(paths: DataFrame) -> DataFrame:
     return paths.select("query_id", "step", F.when(last, F.col("vertex").cast("string")).otherwise(F.concat_ws("\t", F.col("vertex").cast("string"), F.col("dist").cast("string"))).alias("line"))
 
 
+def path_values(state: DataFrame) -> DataFrame:
+    """What a shortest-path query puts out of its state: the vertices on the path alone."""
+    return sp_value(state.where("on_path"))
+
+
+def write_setup(spark: SparkSession, settings: Settings, path: str, notes: dict[str, str] | None = None) -> None:
+    """The settings of a run, and notes on it, as key = value lines."""
+    rows = [(line,) for line in [*settings.lines(), *(f"{k} = {v}" for k, v in (notes or {}).items())]]
+    spark.createDataFrame(rows, "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def merged_log(spark: SparkSession, path: str) -> DataFrame:
+    """(line, level) of all log files of a folder in line order; lines start with their time."""
+    rows = spark.read.text(path).withColumnRenamed("value", "line")
+    level = F.regexp_extract("line", r"\b(TRACE|DEBUG|INFO|WARN|ERROR|FATAL)\b", 1)
+    return rows.withColumn("level", F.when(level != "", level)).orderBy("line")
+
+
+def level_counts(log: DataFrame) -> DataFrame:
+    return log.where("level is not null").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
 def component_lines(sizes: DataFrame) -> DataFrame:
     return sizes.select(F.concat_ws("\t", F.col("component").cast("string"), F.col("n").cast("string")).alias("line"))
 
@@ -37,4 +62,4 @@ def write_csv(stats: DataFrame, path: str) -> None:
 
 def vertex_sample(vertices: DataFrame, one_in: int) -> DataFrame:
     """About 1 in `one_in` vertices, chosen by a hash of the id (the same in every run and partitioning)."""
-    return vertices.where(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(one_in)) == 0)
+    return vertices.where(F.pmod(id_hash("id", "sample"), F.lit(one_in)) == 0)

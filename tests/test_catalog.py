@@ -27,6 +27,7 @@ def test_entry(spark):
 
 def test_streaming_arrivals(spark, tmp_path):
     from millrace.graph import Graph
+    from millrace.settings import Settings
     from millrace.streaming import arrivals
 
     g = Graph.of(None, spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0)], "src long, dst long, weight double"))
@@ -34,5 +35,5 @@ def test_streaming_arrivals(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     seen = []
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    arrivals.serve(stream, g, lambda df, epoch: seen.extend(tuple(r) for r in df.collect()), str(tmp_path / "cp"), most=2).awaitTermination(120)
+    arrivals.serve(stream, g, lambda df, epoch: seen.extend(tuple(r) for r in df.collect()), str(tmp_path / "cp"), Settings(max_parallel_queries=2)).awaitTermination(120)
     assert sorted(seen) == [(0, 0, 3, 2.0), (0, 1, 2, 1.0), (0, 2, 1, 0.0), (2, 0, 3, 1.0), (2, 1, 2, 0.0)]

@@ -2,6 +2,7 @@ import random
 
 from millrace.graph import Graph
 from millrace.operators import partitioners, querycut, stats
+from millrace.settings import Settings
 
 
 def test_local_search_joins_what_belongs_together():
@@ -28,11 +29,41 @@ def test_clusters_and_chunks():
     assert merged == [(frozenset({1, 2}), 14), (frozenset({3}), 7)]
 
 
-def test_policy():
-    policy = querycut.MovePolicy()
-    assert policy.triggers(True, True, 16, 16, 0.1, 0.1, 0.0, 0.0, 0)
-    assert not policy.triggers(True, True, 16, 16, 0.9, 0.9, 0.0, 0.0, 0)
-    assert not policy.triggers(False, True, 16, 16, 0.1, 0.1, 1.0, 1.0, 3)
+def test_trigger_table():
+    given = Settings()
+    fresh = lambda last=0.5, shots=0: querycut.MoveTrigger(given, last, shots)
+    # decision, active, locality, worst, mean: fires?
+    for row, want in [
+        ((True, 16, 0.29, 0.0, 0.0), True),  # low
+        ((True, 16, 0.39, 0.0, 0.0), True),  # fallen by more than 0.10
+        ((True, 16, 0.53, 0.0, 0.0), True),  # risen by more than 0.02
+        ((True, 16, 0.51, 0.0, 0.0), False),
+        ((True, 16, 0.51, 0.79, 0.44), False),  # under limit and margin
+        ((True, 16, 0.51, 0.81, 0.0), True),
+        ((True, 16, 0.51, 0.0, 0.46), True),
+        ((False, 16, 0.1, 1.0, 1.0), False),
+        ((True, 15, 0.1, 1.0, 1.0), False),
+    ]:
+        assert fresh().fires(*row) is want, row
+    assert not querycut.MoveTrigger(Settings(move_enabled=False)).fires(True, 16, 0.1, 1.0, 1.0)
+    t = fresh()
+    assert t.fires(True, 16, 0.2, 0.0, 0.0) and (t.last_locality, t.shots_left) == (0.2, 3)
+    t = fresh(0.5, 2)
+    assert t.fires(True, 16, 0.5, 0.9, 0.0) and t.shots_left == 2  # an imbalance spends no shot
+    assert [t.fires(True, 16, 0.5, 0.0, 0.0) for _ in range(3)] == [True, True, False] and t.shots_left == 0
+
+
+def test_moves_follow_the_search():
+    start = querycut.Placement({0: [5, 3], 1: [2, 9], 2: [4, 0]}, [0, 0])
+    steps = [("greedy", 0, 1, 0, 0, 0.0), ("perturb", 1, -1, 1, 0, 0.0), ("balance", 2, 0, 1, 0, 0.0)]
+    moves = querycut.plan_moves(steps, start, {0: [10, 11], 1: [12], 2: [13]})
+    assert moves == [querycut.Move(0, 1, (12, 13)), querycut.Move(1, 0, (10, 11))]
+
+
+def test_search_limits():
+    start = querycut.Placement({0: [5000, 5000], 1: [5000, 5000]}, [0, 0])
+    assert querycut.iterated_local_search(start, budget_ms=0)[0].cost() == start.cost()
+    assert querycut.iterated_local_search(start, iterations=0, greedy_iterations=0)[0].cost() == start.cost()
 
 
 def test_migration_keeps_small_moves_away(spark):

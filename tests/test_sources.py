@@ -1,6 +1,7 @@
 import pytest
 
 from millrace.operators import partitioners
+from millrace.settings import Settings
 from millrace.sources import readers, sinks
 
 
@@ -31,8 +32,10 @@ def test_binary(spark, tmp_path, coordinates):
 def test_workload_and_settings(spark, tmp_path):
     (tmp_path / "w.txt").write_text("start\t1\t2\tnote\nwait\t5\nstart\t3\t4\nstart\t5\t6\nwaitall\nwaitall\nstart\t7\t8\nodd\n")
     assert [tuple(r) for r in readers.read_workload(spark, str(tmp_path / "w.txt"), 2).orderBy("query_id").collect()] == [(0, 0, 1, 2), (1, 0, 3, 4), (2, 1, 5, 6), (3, 2, 7, 8)]
-    s = readers.Settings().override(["max_parallel_queries = 4", "# note", "search_next_tag = false"])
-    assert (s.max_parallel_queries, s.search_next_tag) == (4, False)
+    s = Settings().override(["MAX_PARALLEL_QUERIES = 4", "# note", "search_next_tag = false", "LsruDeltaThresholdNeg=-0.2"])
+    assert (s.max_parallel_queries, s.search_next_tag, s.locality_drop) == (4, False, -0.2)
+    assert Settings().override(s.lines()) == s
+    assert Settings().override(["PlotWorkerStats = true"], strict=False).others == {"PlotWorkerStats": "true"}
     with pytest.raises(KeyError):
         s.override(["nothing = 1"])
 
@@ -46,9 +49,9 @@ def test_stats_csv(spark, tmp_path):
 
 
 def test_hotspots(spark, tmp_path):
-    (tmp_path / "s.csv").write_text("Aa;100\nBb;50\nCc;1\n")
+    (tmp_path / "s.csv").write_text("Aa;100\nDd;70\nBb;50\nCc;60\n")
     (tmp_path / "c.csv").write_text("aa;1.0;1.0\nbb;5.0;5.0\ncc;9.0;9.0\n")
-    spots = readers.read_hotspots(spark, str(tmp_path / "s.csv"), str(tmp_path / "c.csv"), 2)
+    spots = readers.read_hotspots(spark, str(tmp_path / "s.csv"), str(tmp_path / "c.csv"), 3)
     assert [(r["spot"], r["name"]) for r in spots.orderBy("spot").collect()] == [(0, "Aa"), (1, "Bb")]
     places = spark.createDataFrame([(1, 4.0, 4.0), (2, 1.5, 1.0), (3, 3.2, 3.2)], "id long, lat double, lon double")
     assert {r["id"]: r["spot"] for r in partitioners.closest_city_of(places, spots).collect()} == {1: 1, 2: 0, 3: 1}
@@ -79,3 +82,34 @@ def test_release_deletes_intermediate_results(spark):
     import os
 
     assert os.path.isdir(place) and runtime.release(spark) >= 1 and not os.path.isdir(place)
+
+
+def test_spots_keep_the_files_order(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("Small;1\nLarge;900\nMid;50\n")
+    (tmp_path / "c.csv").write_text("mid;1;1\nsmall;2;2\nlarge;3;3\n")
+    spots = readers.read_hotspots(spark, str(tmp_path / "s.csv"), str(tmp_path / "c.csv"), 2)
+    assert [(r["spot"], r["name"]) for r in spots.orderBy("spot").collect()] == [(0, "Small"), (1, "Large")]
+
+
+def test_stats_rows_are_numbered_over_several_pieces(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("A;\n" + "".join(f"{i};\n" for i in range(500)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        rows = readers.read_stats_csv(spark, str(tmp_path / "s.csv"))
+        assert rows.rdd.getNumPartitions() > 2
+        assert sorted((r["row_no"], r["A"]) for r in rows.collect()) == [(i, float(i)) for i in range(500)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_logs_and_setup(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("10:02 WARN b\n10:00 INFO a\n")
+    (tmp_path / "logs" / "b.log").write_text("10:01 ERROR c\nno level\n")
+    log = sinks.merged_log(spark, str(tmp_path / "logs"))
+    assert [r["line"] for r in log.collect()] == ["10:00 INFO a", "10:01 ERROR c", "10:02 WARN b", "no level"]
+    assert {tuple(r) for r in sinks.level_counts(log).collect()} == {("INFO", 1), ("WARN", 1), ("ERROR", 1)}
+    sinks.write_setup(spark, Settings(extra_shots=7), str(tmp_path / "setup"), {"plan": "x"})
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "setup")).collect()]
+    assert "LsruExtraShots = 7" in lines and "plan = x" in lines

@@ -296,3 +296,83 @@ def test_attention_gradient():
             down = loss()
             flat[i] = old
             assert abs((up - down) / 2e-6 - gf[i]) < 1e-6, (k, i)
+
+
+def test_toxicity_query_against_all_pairs(spark):
+    """Every score of the registered query from the sum over all pairs of terms, one by one."""
+    import math
+
+    model = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    row = {int(p): k for k, p in enumerate(model["place"])}
+    got = {r["doc_id"]: r["score"] for r in toxicity.op6_toxicity(spark, SF).collect()}
+    texts = plain(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert got.keys() == {i for i, _ in texts}
+    for i, text in texts:
+        times = {}
+        for word in set(re.findall(r"\w+", text.lower())):
+            for place in toxicity.terms_of(word):
+                times[place] = times.get(place, 0) + 1
+        places = {int(toxicity.counted(p, k)) for p, n in times.items() for k in (1, 2, 3) if n >= k}
+        at = [row[p] for p in sorted(places) if p in row]
+        w, v = model["w"][at].astype(float), model["v"][at].astype(float)
+        logit = float(model["b"][0]) + w.sum() + sum(float(v[a] @ v[a + 1 :].sum(0)) for a in range(len(at)))
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, logit))))) < 2e-3, i
+
+
+def test_quality_query_against_single_passages(spark):
+    """Every score of the registered query from its passages, one after the other."""
+    import math
+
+    import numpy as np
+
+    model = quality.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    m = {k: np.asarray(x, float) for k, x in model.items()}
+    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    got = {r["doc_id"]: r["score"] for r in quality.op1_quality(spark, SF).collect()}
+    for i, text in plain(spark.read.parquet(f"{SF}/documents.parquet")):
+        words = text.split()
+        passages = [words[k : k + quality.PASSAGE] for k in range(0, len(words), quality.PASSAGE)] or [[]]
+        embedded, weight = [], []
+        for p in passages:
+            x = np.zeros(quality.WIDTH)
+            if p:
+                x[:-4] = np.mean([quality.word_vector(w) for w in p], axis=0)
+                x[-4], x[-3], x[-2] = len(set(p)) / len(p), sum(a == b for a, b in zip(p, p[1:], strict=False)) / len(p), math.log1p(len(p)) / 4
+            x[-1] = math.log1p(len(passages)) / 4
+            h = np.tanh(((x - m["mean"]) / m["std"]) @ m["W"] + m["a"])
+            embedded.append(h)
+            weight.append(math.exp(float((np.tanh(h @ m["V"]) * sig(h @ m["U"])) @ m["w"])))
+        z = sum(a * h for a, h in zip(weight, embedded, strict=True)) / sum(weight)
+        assert abs(got[i] - float(sig(z @ m["c"] + m["b"][0]))) < 2e-3, i
+
+
+def test_null_and_repeated_ids_keep_their_rows(spark):
+    rows = [(None, "you idiot"), (None, "you idiot"), (3, "a fine text"), (3, "another text"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    frames = [toxicity.scored(docs, toxicity.train(docs, labels), ["doc_id"]), quality.scored(docs, quality.train(docs, labels), ["doc_id"]), pieces.encode_documents(docs, pieces.default_model(), ["doc_id"])]
+    for df in frames:
+        assert sorted(str(r["doc_id"]) for r in df.collect()) == sorted(str(i) for i, _ in rows)
+    assert len({r["score"] for r in frames[0].collect()}) == 1  # labels of one kind: the share
+    empty = pieces.encode_documents(docs.where("coalesce(text, '') = ''"), pieces.default_model(), ["doc_id"]).collect()
+    assert [(r["n_tokens"], r["ids"], r["decoded"]) for r in empty] == [(0, [], "")] * 2
+
+
+def test_shape_looks_at_whole_words():
+    assert quality._shape("a" * 40 + "1") != quality._shape("a" * 40) and quality._shape("a" * 40) == "a"
+
+
+def test_revisits_of_a_hot_response_and_ties(spark):
+    """One response with many revisits, some at one time; equal times of several responses; repeated rows; clashing columns."""
+    rows = [(i, "response", "http://h/a", 10, 200, {"etag": '"1"'}, f"p{i}") for i in range(3)]
+    rows += [(10 + i, "revisit", "http://h/a", 10 + i % 7, 304, {"etag": '"1"'} if i % 2 else None, None) for i in range(200)]
+    rows += [rows[-1], (500, "revisit", "http://h/a", 9, 304, None, None), (501, "response", "http://h/a", 13, 200, {}, "late")]
+    records = spark.createDataFrame([(*r, "x", "y") for r in rows], "record_id long, kind string, url string, time long, status int, headers map<string,string>, payload string, bucket string, source_id string")
+    got = sorted((r["record_id"], r["state"], r["source_id"], r["payload"]) for r in warc_revisit.resolve(records).collect())
+    want = [(500, "unresolved", None, None)]
+    for i in [*range(200), 199]:
+        if 10 + i % 7 < 13:
+            want.append((10 + i, "resolved", 2, "p2"))
+        else:
+            want.append((10 + i, *(("unresolved", None, None) if i % 2 else ("resolved", 501, "late"))))
+    assert [str(x) for x in got] == [str(x) for x in sorted(want, key=lambda x: x[0])]

@@ -88,24 +88,48 @@ def resolve(records: DataFrame) -> DataFrame:
     return pair.join(payloads, "source_id", "left").select("record_id", "url_key", "state", "source_id", "headers", "payload")
 
 
+#: Record ids of second captures begin here, those of second revisits lie as far below zero.
+SECOND = 1_000_000_000_000
+
+
 def capture_log(pages: DataFrame) -> DataFrame:
     """A crawl log made from pages, which hold full responses only.
 
     Every page is a response at time 600 page_id. Each is fetched again a day later
     under its canonical form with a fragment, conditionally, and is answered by a
     revisit with record_id -1 - page_id: a third carry the right ETag, a third the right
-    Last-Modified, a sixth no validator and a sixth an ETag that has changed.
+    Last-Modified, a sixth no validator and a sixth an ETag that has changed. Every seventh
+    page has a second, conflicting capture at the time of the first, with other content; every
+    fifth is revisited twice at one time, the second time without a validator.
     """
     when = (F.col("page_id") * 600).alias("time")
     stamp = F.concat(F.lit("day "), (F.col("page_id") % 365).cast("string"))
-    etag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
-    response = pages.select("page_id", F.col("page_id").alias("record_id"), F.lit("response").alias("kind"), "url", when, F.lit(200).alias("status"),
-        F.create_map(F.lit("etag"), etag, F.lit("last-modified"), stamp, F.lit("content-type"), F.lit("text/html"), F.lit("date"), F.col("page_id").cast("string")).alias("headers"), F.col("html").alias("payload"))
+    html = F.coalesce("html", F.lit(""))
+    nothing = F.create_map().cast("map<string,string>")
+
+    def response(rows: DataFrame, record_id: Column, payload: Column, content: Column) -> DataFrame:
+        headers = F.create_map(F.lit("etag"), _quoted(F.md5(content)), F.lit("last-modified"), stamp, F.lit("content-type"), F.lit("text/html"), F.lit("date"), F.col("page_id").cast("string"))
+        return rows.select(record_id.alias("record_id"), F.lit("response").alias("kind"), "url", when, F.lit(200).alias("status"), headers.alias("headers"), payload.alias("payload"))
+
+    def revisit(rows: DataFrame, record_id: Column, validator: Column) -> DataFrame:
+        date = F.map_from_arrays(F.array(F.lit("date"), F.lit("server")), F.array((-F.col("page_id")).cast("string"), F.lit("x")))
+        url = F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again"))
+        return rows.select(record_id.alias("record_id"), F.lit("revisit").alias("kind"), url.alias("url"), (F.col("page_id") * 600 + 86_400).alias("time"), F.lit(304).alias("status"), F.map_concat(date, validator).alias("headers"), F.lit(None).cast("string").alias("payload"))
+
     turn = F.pmod("page_id", F.lit(6))
-    date = F.map_from_arrays(F.array(F.lit("date"), F.lit("server")), F.array((-F.col("page_id")).cast("string"), F.lit("x")))
-    validator = F.when(turn < 2, F.create_map(F.lit("etag"), F.concat(F.lit("W/"), etag))).when(turn < 4, F.create_map(F.lit("last-modified"), stamp)).when(turn == 4, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("etag"), F.lit('"changed"')))
-    revisit = pages.select("page_id", (-1 - F.col("page_id")).alias("record_id"), F.lit("revisit").alias("kind"), F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")).alias("url"), (F.col("page_id") * 600 + 86_400).alias("time"), F.lit(304).alias("status"), F.map_concat(date, validator).alias("headers"), F.lit(None).cast("string").alias("payload"))
-    return response.unionByName(revisit).drop("page_id")
+    validator = F.when(turn < 2, F.create_map(F.lit("etag"), F.concat(F.lit("W/"), _quoted(F.md5(html))))).when(turn < 4, F.create_map(F.lit("last-modified"), stamp)).when(turn == 4, nothing).otherwise(F.create_map(F.lit("etag"), F.lit('"changed"')))
+    other = F.concat(html, F.lit("<!-- second -->"))
+    parts = [
+        response(pages, F.col("page_id"), F.col("html"), html),
+        response(pages.where("page_id % 7 = 0"), F.col("page_id") + SECOND, other, other),
+        revisit(pages, -1 - F.col("page_id"), validator),
+        revisit(pages.where("page_id % 5 = 0"), -1 - F.col("page_id") - SECOND, nothing),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def _quoted(x: Column) -> Column:
+    return F.concat(F.lit('"'), x, F.lit('"'))
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,17 +151,24 @@ k AS (
          list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)='))) AS q
   FROM pg),
 c AS (SELECT page_id, m, html, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS key FROM k),
+r AS (
+  SELECT page_id AS rid, page_id, key, m, html FROM c
+  UNION ALL
+  SELECT page_id + 1000000000000, page_id, key, md5(html || '<!-- second -->'), html || '<!-- second -->' FROM c WHERE page_id % 7 = 0),
+v AS (
+  SELECT -1 - page_id AS vid, page_id, key, m, page_id % 6 AS turn FROM c
+  UNION ALL
+  SELECT -1 - page_id - 1000000000000, page_id, key, m, 4 FROM c WHERE page_id % 5 = 0),
 near AS (
-  SELECT v.page_id, v.key, v.m,
-         (SELECT max(r.page_id) FROM c r WHERE r.key = v.key AND r.page_id * 600 <= v.page_id * 600 + 86400) AS src
-  FROM c v),
+  SELECT v.vid, max({'t': r.page_id, 'rid': r.rid}).rid AS src
+  FROM v JOIN r ON r.key = v.key AND r.page_id * 600 <= v.page_id * 600 + 86400 GROUP BY v.vid),
 j AS (
-  SELECT n.*, r.m AS rm, r.html AS rhtml,
-         CASE WHEN n.page_id % 6 < 2 THEN n.m = r.m WHEN n.page_id % 6 < 4 THEN n.page_id % 365 = r.page_id % 365 ELSE n.page_id % 6 = 4 END AS ok
-  FROM near n LEFT JOIN c r ON r.page_id = n.src)
-SELECT -1 - page_id AS record_id, key AS url_key, CASE WHEN ok THEN 'resolved' ELSE 'unresolved' END AS state,
+  SELECT v.*, r.page_id AS rpage, r.rid AS src, r.m AS rm, r.html AS rhtml,
+         coalesce(CASE WHEN v.turn < 2 THEN v.m = r.m WHEN v.turn < 4 THEN v.page_id % 365 = r.page_id % 365 ELSE v.turn = 4 END AND r.rid IS NOT NULL, false) AS ok
+  FROM v LEFT JOIN near USING (vid) LEFT JOIN r ON r.rid = near.src)
+SELECT vid AS record_id, key AS url_key, CASE WHEN ok THEN 'resolved' ELSE 'unresolved' END AS state,
        CASE WHEN ok THEN src END AS source_id,
-       CASE WHEN ok THEN 'content-type=text/html;date=' || CAST(-page_id AS VARCHAR) || ';etag=' || CASE WHEN page_id % 6 < 2 THEN 'W/' ELSE '' END || '"' || rm || '";last-modified=day ' || CAST(src % 365 AS VARCHAR) END AS headers,
+       CASE WHEN ok THEN 'content-type=text/html;date=' || CAST(-page_id AS VARCHAR) || ';etag=' || CASE WHEN turn < 2 THEN 'W/' ELSE '' END || '"' || rm || '";last-modified=day ' || CAST(rpage % 365 AS VARCHAR) END AS headers,
        CASE WHEN ok THEN md5(rhtml) END AS payload_md5
 FROM j
 """

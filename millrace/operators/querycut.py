@@ -265,6 +265,13 @@ class MoveTrigger:
         return True
 
 
+def steps_within(supersteps: DataFrame, window_ms: float) -> int:
+    """How many of a run's last supersteps ended within the last window_ms of its time."""
+    took = supersteps.groupBy("superstep").agg(F.max("wall_ms").alias("ms"))  # one row a step
+    after = F.sum("ms").over(Window.orderBy(F.desc("superstep"))) - F.col("ms")
+    return took.select((after <= window_ms).cast("int").alias("inside")).agg(F.sum("inside")).first()[0] or 0
+
+
 def recently_active(state: DataFrame, now_step: int, window: int) -> DataFrame:
     """Vertices that were active in the last `window` supersteps."""
     return state.where(F.col("last_step") >= now_step - window).select("id").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _WRITTEN: list[str] = []
+_TABLES: dict[str, str] = {}  # of places that are bucketed tables: their names
 
 
 def store(df: DataFrame, name: str) -> str:
@@ -45,6 +47,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     title = f"millrace_{name}_{uuid.uuid4().hex}".replace("-", "_")
     place = remember(f"{shared_dir(spark)}/millrace/{title}")
+    _TABLES[place] = title
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", place).saveAsTable(title)
     return spark.table(title)
 
@@ -66,11 +69,24 @@ def remember(place: str) -> str:
 def delete(spark: SparkSession, *places: str) -> int:
     hadoop, jvm, n = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm, 0
     for place in places:
+        if place in _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(place)}")
         path = jvm.org.apache.hadoop.fs.Path(place)
         n += bool(path.getFileSystem(hadoop).delete(path, True))
     return n
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has Spark drop shuffle files, broadcasts and plans of finished work now.
+
+    Spark does so when the driver happens to collect its garbage, which a driver with many
+    small jobs does late: its heap grows first, and shuffle files stay on the executors'
+    disks meanwhile.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes on leaving what was materialised inside; for work whose results are stored or collected before."""
@@ -79,6 +95,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     places = _WRITTEN[mark:]
     del _WRITTEN[mark:]
     delete(spark, *places)
+    tidy(spark)
 
 
 def release(spark: SparkSession) -> int:

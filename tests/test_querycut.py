@@ -90,3 +90,8 @@ def test_query_hash_wraps(spark):
     wrap = lambda x: (x + 2**31) % 2**32 - 2**31
     got = {r["query_ids"]: r["query_hash"] for r in stats.query_groups(q).collect()}
     assert got == {"0": wrap(31 * (31 + 2_000_000_000) + 5), "1": 31 * 34 + 4}
+
+
+def test_steps_within_a_window(spark):
+    rows = spark.createDataFrame([(0, 1, 5.0), (1, 1, 4.0), (1, 2, 4.0), (2, 1, 3.0)], "superstep int, query_id int, wall_ms double")
+    assert [querycut.steps_within(rows, ms) for ms in (0, 2.9, 3.0, 7.0, 100)] == [1, 1, 2, 3, 3]

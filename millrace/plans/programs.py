@@ -69,6 +69,11 @@ class ShortestPaths(VertexProgram):
     def aggregate(self) -> list[Column]:
         return [F.min(F.when(F.col("id") == F.col("goal"), F.col("dist"))).alias("reached")]
 
+    def fold(self, before: dict, now: dict) -> dict:
+        """Distances only fall, so the least so far is the least of all."""
+        known = [x for x in (before.get("reached"), now.get("reached")) if x is not None]
+        return {"reached": min(known, default=None)}
+
     def hold(self, step: int) -> Column | None:
         """Far vertices wait until the steps have caught up with their distance; results don't change."""
         return None if self.step_factor is None or self.marking else F.col("dist") > (step + 1) * self.step_factor

@@ -232,6 +232,8 @@ def test_long_path_in_few_jobs(spark):
     done = programs.shortest_paths(g, q, local_edges=0)
     got = sorted(tuple(r) for r in programs.paths(done, q).collect())
     assert got == sorted([(0, n - i, i, float(i)) for i in range(n + 1)] + [(1, 2 - i, 3 + i, float(i)) for i in range(3)])
+    rows = lambda run: {tuple(r) for r in run.state.collect()}
+    assert rows(done) == rows(supersteps.run(programs.ShortestPaths(), g, q, merge_every=2))  # however often the deltas are merged
 
 
 def test_pagerank_with_hubs_apart(spark):

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from millrace.runtime import delete, materialise, remember, scratch, shared_dir, store, table
+from millrace.runtime import delete, materialise, remember, scratch, shared_dir, store, table, tidy
 
-__all__ = ["ascii_lower", "bitmap_filter", "bound_batches", "buckets_for", "delete", "fold_null", "give_back", "let", "map_texts", "materialise", "may_contain", "probed", "remember", "scratch", "shared_dir", "store", "table", "without_spaces"]
+__all__ = ["ascii_lower", "bitmap_filter", "bound_batches", "buckets_for", "delete", "fold_null", "give_back", "let", "map_texts", "materialise", "may_contain", "probed", "remember", "scratch", "shared_dir", "store", "table", "tidy", "without_spaces"]
 
 # The six characters of [\x20\x09-\x0D], and the two alphabets.
 SPACES = " \t\n\x0b\x0c\r"
@@ -43,7 +43,7 @@ def fold_null(text: Column) -> Column:
 # -- a filter of fixed size, made and probed with built-in functions only ------------------
 
 
-def bitmap_filter(keys: DataFrame, key: str, buckets: int = 512) -> DataFrame:
+def bitmap_filter(keys: DataFrame, key: str, buckets: int) -> DataFrame:
     """One-hash filter of `key` as rows (bucket, bits) of 4 KB; never over buckets x 4 KB.
 
     The bound is fixed, so the rows may be broadcast whatever the number of keys:
@@ -56,11 +56,11 @@ def bitmap_filter(keys: DataFrame, key: str, buckets: int = 512) -> DataFrame:
 
 
 def buckets_for(keys: int) -> int:
-    """Buckets of a filter that about one place in eight of is set, 512 (2 MB) to 8,192 (32 MB)."""
-    return min(8192, max(512, 8 * keys // BITMAP_BITS))
+    """Buckets of a filter in which about one place in eight is set, 16 (64 KB) to 8,192 (32 MB)."""
+    return min(8192, max(16, 8 * keys // BITMAP_BITS))
 
 
-def probed(df: DataFrame, key: str, bits: DataFrame, buckets: int = 512) -> DataFrame:
+def probed(df: DataFrame, key: str, bits: DataFrame, buckets: int) -> DataFrame:
     """df with a column _may: whether the row's key may be in the filter; true for every key that is in it."""
     h = F.xxhash64(key)
     at = F.pmod(F.shiftrightunsigned(h, 24), F.lit(BITMAP_BITS)).cast("int")
@@ -70,7 +70,7 @@ def probed(df: DataFrame, key: str, bits: DataFrame, buckets: int = 512) -> Data
     return found.select(*[f"`{c}`" for c in df.columns], may.alias("_may"))
 
 
-def may_contain(df: DataFrame, key: str, bits: DataFrame, buckets: int = 512) -> DataFrame:
+def may_contain(df: DataFrame, key: str, bits: DataFrame, buckets: int) -> DataFrame:
     """Rows of df whose key may be in the filter; no row whose key is in it is lost."""
     return probed(df, key, bits, buckets).where("_may").drop("_may")
 
@@ -90,14 +90,20 @@ _AT_ONCE = 500
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bound_batches(spark: SparkSession, most: str = "4m") -> None:
-    """Has Spark cut Arrow batches by bytes, not only by rows, unless the session has its own bound.
+_READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
 
-    Long texts make batches of 10,000 rows large, in the JVM and in the worker. The
-    setting stays in the session, as results are computed later; it changes no result.
+
+def bound_batches(spark: SparkSession, most: str = "4m", rows: int = 512) -> None:
+    """Has Spark read `rows` texts at a time and cut Arrow batches by bytes, unless the session has its own bounds.
+
+    Long texts make the usual batches of 4,096 and 10,000 rows large, in the JVM and in the
+    worker. The settings stay in the session, as results are computed later; they change
+    no result.
     """
     if int(spark.conf.get(_BATCH_BYTES).rstrip("b")) >= 2**31 - 1:
         spark.conf.set(_BATCH_BYTES, most)
+    if spark.conf.get(_READ_ROWS) == "4096":
+        spark.conf.set(_READ_ROWS, str(rows))
 
 
 def give_back() -> None:

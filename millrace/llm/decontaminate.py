@@ -115,6 +115,7 @@ def _run(mine: Column, theirs: Column, n: int) -> Column:
 def decontaminate(docs: DataFrame, bench: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """One row per row of docs: doc_id, text_hash, n_words, n_hit, item_ids (sorted strings)."""
     side = window - k
+    common.bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.fold_null(F.col("text")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     items = common.materialise(_items(bench), "items")
@@ -133,12 +134,14 @@ def decontaminate(docs: DataFrame, bench: DataFrame, k: int = K, window: int = W
     known = prints.select("len", "h").distinct().withColumn("known", F.lit(True))
     met = prints_of.join(known, ["len", "h"], "left").where("pos < 0 or known").drop("known")
     met = common.materialise(met.select("doc_id", "text_hash", "pos", "len", "h"), "met")
+    common.tidy(docs.sparkSession)
     counts = met.where("pos < 0").select("doc_id", "text_hash", F.col("len").cast("long").alias("n_words"))
     hits = met.where("pos >= 0").distinct()
 
     # 2. The words around each hit, from the documents that have one.
     where = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("pos", "len")).alias("at"))
-    again = common.may_contain(docs, "text_hash", common.bitmap_filter(hits.select("text_hash"), "text_hash"))
+    buckets = common.buckets_for(hits.count())
+    again = common.may_contain(docs, "text_hash", common.bitmap_filter(hits.select("text_hash"), "text_hash", buckets), buckets)
     again = _same_doc(again.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text")), where)
     around = again.select("doc_id", "text_hash", F.explode(common.let(words(F.col("text")), lambda w: F.transform("at", lambda a: F.struct(
         a["pos"].alias("pos"), a["len"].alias("len"),

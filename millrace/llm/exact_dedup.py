@@ -96,6 +96,7 @@ class MergeIndex:
 def exact_dedup(docs: DataFrame, memtable_rows: int = 50_000, fan_in: int = 4, digest: Callable[[Column], Column] = sha_digest) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, digest, n_cp."""
     spark = docs.sparkSession
+    common.bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.fold_null(F.col("text")).alias("text"))
     norm = common.without_spaces(F.col("text"))
     seen = docs.select("doc_id", F.char_length("text").alias("n_cp"), norm.alias("norm"))
@@ -106,6 +107,7 @@ def exact_dedup(docs: DataFrame, memtable_rows: int = 50_000, fan_in: int = 4, d
     index.put(entries.select("digest", "n_cp", "doc_id"))
     merged = common.materialise(index.compact().where("n_rows > 1"), "hits")
 
+    common.tidy(spark)
     # Entries probe the hits' filter; what it rejects is alone with its text and needs no join.
     buckets = common.buckets_for(merged.count())
     flagged = common.probed(entries, "digest", common.bitmap_filter(merged, "digest", buckets), buckets)
@@ -131,7 +133,8 @@ def exact_dedup(docs: DataFrame, memtable_rows: int = 50_000, fan_in: int = 4, d
 def _verify(docs: DataFrame, entries: DataFrame, merged: DataFrame, norm: Column, digest) -> DataFrame | None:
     """Digests whose rows aren't all the same normalised text; None if there are none."""
     hits = entries.join(merged.select("digest"), "digest", "left_semi").select("doc_id")
-    texts = common.may_contain(docs, "doc_id", common.bitmap_filter(hits, "doc_id")).select(norm.alias("norm"))
+    buckets = common.buckets_for(merged.agg(F.sum("n_rows")).first()[0] or 0)
+    texts = common.may_contain(docs, "doc_id", common.bitmap_filter(hits, "doc_id", buckets), buckets).select(norm.alias("norm"))
     spans = texts.groupBy(digest(F.col("norm")).alias("digest")).agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
     bad = common.materialise(spans.where("lo <> hi").select("digest"), "collisions")
     return None if bad.isEmpty() else bad

@@ -161,6 +161,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, per_shard: int = 16_
     """One row per row of docs: doc_id, n_lines, n_dropped, kept (the text that stays), and
     most: how many lines of the corpus have the key of the dropped line that is most frequent (0 without one)."""
     spark = docs.sparkSession
+    common.bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.fold_null(F.col("text")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     hashes = F.transform(_keys(F.col("text")), lambda k, i: F.when(F.char_length(k) >= min_chars, F.struct(i.alias("line"), F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"))))

@@ -169,6 +169,8 @@ def _pack(shards: int):
                     held, size = {}, 0
         if held:
             yield from cells([(*k, x) for k, x in held.items()])
+        held.clear()
+        common.give_back()
 
     return run
 
@@ -194,13 +196,22 @@ def _count_lone(parts: int):
         names = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in pdf["names"]]
         base = np.cumsum([0, *map(len, names)])
         own = np.concatenate([np.frombuffer(x, np.uint16 if x[0] == 2 else np.uint32, offset=1).astype(np.int64) + b for x, b in zip(pdf["own"], base[:-1], strict=True)])
+        del pdf
         names, row = _distinct(np.concatenate(names))  # a class that came with several chunks is one
-        key = np.unique(token.astype(np.uint64) << np.uint64(32) | row[own].astype(np.uint64))
-        token, owner = key >> np.uint64(32), (key & np.uint64(2**32 - 1)).astype(np.int64)
+        key = token.astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= row[own].astype(np.uint64)
+        del token, own, row
+        key.sort()
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+        token, owner = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(2**32 - 1)).astype(np.int64)
+        del key
         other = token[1:] != token[:-1]
         lone = np.bincount(owner[np.r_[True, other] & np.r_[other, True]], minlength=len(names))
         part = (names[:, 0] % parts).astype(np.int32)
         out = [(k, names[at].tobytes(), lone[at].astype(np.int32).tobytes()) for k in range(parts) if len(at := np.flatnonzero((part == k) & (lone > 0)))]
+        del names, owner, token, other, part
+        common.give_back()
         return pd.DataFrame(out, columns=["part", "names", "lone"])
 
     return run
@@ -359,6 +370,7 @@ def _join_task(num: int, den: int):
         close()
         if found:
             yield pd.DataFrame(found, columns=["a", "b"])
+        common.give_back()
 
     return run, "a long, b long"
 
@@ -415,7 +427,8 @@ def _deal(rows: DataFrame, block: int, block_tokens: int) -> tuple[DataFrame, Da
 def _survivors(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int, shard_tokens: int) -> DataFrame:
     """(node, n, tokens, a, b): the classes that orders 1 and 2 leave, with whole sets, under a short number of their own."""
     wanted = common.materialise(classes.where("alive").select(F.col("doc_id").alias("wanted_id")).distinct(), "wanted")
-    texts = common.may_contain(docs, "doc_id", common.bitmap_filter(wanted, "wanted_id"))
+    buckets = common.buckets_for(wanted.count())
+    texts = common.may_contain(docs, "doc_id", common.bitmap_filter(wanted, "wanted_id", buckets), buckets)
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = common.materialise(_sets(texts, n).where("n > 0"), "sets")
     left = common.materialise(_classes(sets, num, den, shard_tokens).where("alive").select("node", "check"), "left")
@@ -438,6 +451,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block
     feats = common.materialise(_scan(docs, n, pool), "shingles")
     classes = common.materialise(_classes(feats, num, den, shard_tokens), "classes")
     survivors = _survivors(docs.select("doc_id", "text"), classes, n, num, den, shard_tokens)
+    common.tidy(spark)
 
     with common.scratch(spark):
         rows = common.materialise(_index(common.materialise(_ordered(survivors, num, den, pool), "ordered"), num, den), "prefixes")
@@ -457,6 +471,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block
         "node", "check", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"),
         F.when(F.col("root").isNull(), lone).otherwise(F.col("root").cast("string")).alias("component"),
     )
+    common.tidy(spark)
     out = feats.drop("tokens").join(common.materialise(named, "components"), ["node", "check"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), "component", "node", "check", *(["text_hash"] if texts else []))

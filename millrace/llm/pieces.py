@@ -286,7 +286,7 @@ class WordCache:
     A word is known by its text without the space in front of it.
     """
 
-    MOST = 60_000
+    MOST = 40_000
 
     def __init__(self, model: PieceModel, decimal: bool):
         self.model, self.decimal = model, decimal
@@ -325,7 +325,7 @@ def split(text: str) -> list[str]:
 
 def encoded(texts: list[str], words: WordCache) -> Iterator[tuple[bytes, bytes]]:
     """The ids of each text, as decimals with a comma after each or as little-endian int32, and the UTF-8 bytes that they decode to."""
-    for part in _chunks(texts, 1_000_000):
+    for part in _chunks(texts, 500_000):
         cut = [split(t) for t in part]
         words.learn(set().union(*cut))
         get = words.young.__getitem__

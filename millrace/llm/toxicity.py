@@ -82,19 +82,20 @@ def fit(rows: pd.DataFrame, terms: int = TERMS, rank: int = RANK, least_z: float
     b = np.array([np.log(prior / (1 - prior))], np.float32)
     if not pos or not neg:
         return {"place": np.zeros(0, np.int64), "w": np.zeros(0, np.float32), "v": np.zeros((0, rank), np.float32), "b": b}
-    flat = np.concatenate([np.asarray(x, np.int32) for x in rows["x"]])
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows["x"]])
-    with_pos = np.bincount(flat, weights=y[doc], minlength=PLACES)
-    everywhere = np.bincount(flat, minlength=PLACES)
+    docs = [np.asarray(x, np.int32) for x in rows["x"]]  # distinct places
+    with_pos, everywhere = np.zeros(PLACES, np.int32), np.zeros(PLACES, np.int32)
+    for x, label in zip(docs, y, strict=True):
+        everywhere[x] += 1
+        if label:
+            with_pos[x] += 1
     share = everywhere / len(y)
     z = (with_pos / pos - (everywhere - with_pos) / neg) / np.sqrt(np.maximum(share * (1 - share), 0.5 / len(y)) * (1 / pos + 1 / neg))
     order = np.argsort(-np.abs(z), kind="stable")[:terms]
     first = np.sort(order[(np.abs(z[order]) >= least_z) & (everywhere[order] >= 5)])
-    column = np.full(PLACES, -1, np.int64)
+    column = np.full(PLACES, -1, np.int32)
     column[first] = np.arange(len(first))
-    x = np.zeros((len(rows), len(first)), np.float32)
-    known = column[flat] >= 0
-    x[doc[known], column[flat[known]]] = 1
+    known = [c[c >= 0] for c in (column[x] for x in docs)]
+    del share, z, order, column
 
     rng = np.random.default_rng(seed)
     p = {"w": np.zeros(len(first), np.float32), "v": rng.normal(0, 0.01, (len(first), rank)).astype(np.float32), "b": b}
@@ -103,7 +104,9 @@ def fit(rows: pd.DataFrame, terms: int = TERMS, rank: int = RANK, least_z: float
         mix = rng.permutation(len(y))
         for lo in range(0, len(y), batch):
             at = mix[lo : lo + batch]
-            xb = x[at]
+            xb = np.zeros((len(at), len(first)), np.float32)
+            for k, row in enumerate(at):
+                xb[k, known[row]] = 1
             s = xb @ p["v"]
             d = (learn.sigmoid(logits(p, xb)) - y[at]) / len(at)
             adam.step({"b": np.array([d.sum()], np.float32), "w": xb.T @ d, "v": xb.T @ (d[:, None] * s) - (xb.T @ d)[:, None] * p["v"]})
@@ -112,7 +115,9 @@ def fit(rows: pd.DataFrame, terms: int = TERMS, rank: int = RANK, least_z: float
     w, v = np.zeros(len(place), np.float32), rng.normal(0, 0.01, (len(place), rank)).astype(np.float32)
     w[at], v[at] = p["w"], p["v"]
     model = {"place": place, "w": w, "v": v, "b": p["b"]}
-    _all_places(model, [np.searchsorted(place, np.asarray(x, np.int64)) for x in rows["x"]], y, rng, batch)
+    at = np.full(PLACES, -1, np.int32)
+    at[place] = np.arange(len(place))
+    _all_places(model, [at[x] for x in docs], y, rng, batch)
     return model
 
 

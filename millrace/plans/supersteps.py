@@ -158,7 +158,7 @@ class _State:
 
 def run(program: VertexProgram, graph: Graph, queries: DataFrame, max_steps: int = 10_000, merge_every: int = 8) -> Run:
     spark = graph.edges.sparkSession
-    graph = graph.known()
+    graph = graph if graph.closed else graph.known().materialised()  # once, not in every step
     edges = program.edges(graph)
     began = time.time()
     state = _State(spark, program.name)

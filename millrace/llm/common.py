@@ -87,23 +87,22 @@ def let(value: Column, body) -> Column:
 #: Rows that a Python worker turns into objects at a time.
 _AT_ONCE = 500
 
-_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Session settings for long texts: Spark's default, and what takes its place.
+_FOR_TEXTS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+}
 
 
-_READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
+def bound_batches(spark: SparkSession) -> None:
+    """Has Spark read fewer texts at a time and cut Arrow batches at fewer bytes, unless the session has its own bounds.
 
-
-def bound_batches(spark: SparkSession, most: str = "4m", rows: int = 512) -> None:
-    """Has Spark read `rows` texts at a time and cut Arrow batches by bytes, unless the session has its own bounds.
-
-    Long texts make the usual batches of 4,096 and 10,000 rows large, in the JVM and in the
-    worker. The settings stay in the session, as results are computed later; they change
-    no result.
+    Long texts make the usual batches large, in the JVM and in the worker. The settings
+    stay in the session, as results are computed later; they change no result.
     """
-    if int(spark.conf.get(_BATCH_BYTES).rstrip("b")) >= 2**31 - 1:
-        spark.conf.set(_BATCH_BYTES, most)
-    if spark.conf.get(_READ_ROWS) == "4096":
-        spark.conf.set(_READ_ROWS, str(rows))
+    for key, (default, ours) in _FOR_TEXTS.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
 
 
 def give_back() -> None:

@@ -376,3 +376,22 @@ def test_revisits_of_a_hot_response_and_ties(spark):
         else:
             want.append((10 + i, *(("unresolved", None, None) if i % 2 else ("resolved", 501, "late"))))
     assert [str(x) for x in got] == [str(x) for x in sorted(want, key=lambda x: x[0])]
+
+
+def test_session_bounds_are_kept(spark):
+    from millrace.llm import common
+
+    keys = list(common._FOR_TEXTS)
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        common.bound_batches(spark)
+        assert [spark.conf.get(k) for k in keys] == ["4m", "512"]
+        spark.conf.set(keys[0], "64mb")
+        spark.conf.set(keys[1], "1000")
+        common.bound_batches(spark)
+        assert [spark.conf.get(k) for k in keys] == ["64mb", "1000"]
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)

@@ -48,7 +48,10 @@ def trained(features: DataFrame, fit: Callable[[pd.DataFrame], dict]) -> dict:
         common.give_back()
         yield pd.DataFrame({"model": [model]})
 
-    return pickle.loads(bytes(features.repartition(1).mapInPandas(run, "model binary").first()[0]))
+    model = pickle.loads(features.repartition(1).mapInPandas(run, "model binary").first()[0])
+    common.give_back()
+    common.tidy(features.sparkSession)
+    return model
 
 
 class Adam:
